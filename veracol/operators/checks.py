@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import casts, dates, text
 from ..functions.columns import ROW_ID, aggregate_long, as_text, cell, count_where, data_fields, field_map, fields_of, groupable, kind, row_count
+from ..functions.frames import small_table
 from ..sources.row_order import with_row_order
 from . import duplicates, value_counts as vc
 from .profile import percent
@@ -367,7 +368,7 @@ class QualityReport:
 
     def to_frame(self, spark) -> DataFrame:
         rows = [(i.category, i.severity, i.column, i.description, i.affected_count, i.affected_percentage, i.sample_values, i.suggested_action) for i in self.issues]
-        return spark.createDataFrame(rows, ISSUE_SCHEMA)
+        return small_table(spark, rows, ISSUE_SCHEMA)
 
     def to_dict(self) -> dict[str, Any]:
         return {
@@ -484,7 +485,7 @@ def _category_issues(df, rules, allowed: list[Probe], unlisted, rows: int, limit
     inline = {p.column for p in allowed}
     for name, values in rules.items():
         if name in names and name not in inline:
-            listed = df.sparkSession.createDataFrame([(value,) for value in set(values)], "value string")
+            listed = small_table(df.sparkSession, [(value,) for value in set(values)], "value string")
             n = unlisted_counts(df, name, listed).first()["affected_count"]
             if n:
                 found[name] = (n, [])

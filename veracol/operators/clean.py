@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import casts, dates, text
 from ..functions.columns import ROW_ID, aggregate_long, cell, count_where, data_fields, field_map, fields_of, kind, nan_to_null, ref, row_count
+from ..functions.frames import small_table
 from ..session import cut_lineage
 from ..sources.row_order import with_row_order
 from . import checks, duplicates
@@ -104,7 +105,7 @@ def map_categories(df: DataFrame, mappings: Mapping[str, Mapping[Any, Any]]) ->
 
 def _map_by_join(df: DataFrame, field: T.StructField, mapping: Mapping[Any, Any]) -> DataFrame:
     schema = T.StructType([T.StructField("__from", field.dataType), T.StructField("__to", field.dataType), T.StructField("__hit", T.BooleanType())])
-    table = df.sparkSession.createDataFrame([(k, v, True) for k, v in mapping.items()], schema)
+    table = small_table(df.sparkSession, [(k, v, True) for k, v in mapping.items()], schema)
     if len(mapping) <= BROADCAST_MAP:
         table = F.broadcast(table)
     joined = df.join(table, ref(field.name) == F.col("__from"), "left")
@@ -184,7 +185,10 @@ def blanks_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
     """Drop rows without any value."""
-    return df.where(F.coalesce(*[cell(f).isNotNull() | F.lit(None).cast("boolean") for f in data_fields(df)], F.lit(False)))
+    filled = F.lit(False)
+    for field in data_fields(df):
+        filled = filled | cell(field).isNotNull()
+    return df.where(filled)
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
@@ -397,7 +401,7 @@ class CleaningResult:
         }
 
     def steps_frame(self, spark) -> DataFrame:
-        return spark.createDataFrame(
+        return small_table(spark, 
             [(s.step_number, s.operation, s.target_column, json.dumps(s.parameters, default=str), s.rows_affected, s.details) for s in self.steps], STEP_SCHEMA
         )
 

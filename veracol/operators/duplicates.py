@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import ROW_ID, data_fields, field_map, groupable, row_count
+from ..functions.columns import ROW_ID, data_fields, field_map, groupable, ref, row_count
 from ..sources.row_order import with_row_order
 
 
@@ -57,7 +57,7 @@ def copies_of_keys(df: DataFrame, subset: Sequence[str], limit: int | None = Non
     for i, name in enumerate(subset):
         same = groupable(fields[name]).eqNullSafe(F.col(f"k{i}"))
         match = same if match is None else match & same
-    rows = df.join(repeated, match, "left_semi").orderBy(*[F.col(f"`{name}`") for name in subset])
+    rows = df.join(repeated, match, "left_semi").orderBy(*[ref(name) for name in subset])
     return rows if limit is None else rows.limit(limit)
 
 
@@ -76,20 +76,32 @@ def drop_duplicate_rows(
         return df.dropDuplicates()
     ordered = with_row_order(df, order_by)
     fields = data_fields(df)
-    subset_fields = fields if subset is None else [field_map(df)[name] for name in subset]
-    keys = [groupable(field).alias(f"k{i}") for i, field in enumerate(subset_fields)]
-    whole = F.struct(*[F.col("`" + field.name.replace("`", "``") + "`").alias(f"v{i}") for i, field in enumerate(fields)], F.col(ROW_ID).alias("rid"))
-    picked = ordered.select(*keys, whole.alias("whole"), F.col(ROW_ID).alias("rid"))
-    names = [f"k{i}" for i in range(len(keys))]
-    choose = F.max_by("whole", "rid") if keep == "last" else F.min_by("whole", "rid")
-    survivors = picked.groupBy(*names).agg(choose.alias("whole"), row_count().alias("copies"))
+    whole_row = subset is None and not _has_maps(df)
+    key_names = {field.name for field in fields} if subset is None else set(subset)
+    key_fields = [field for field in fields if field.name in key_names]
+    # Key cells travel once, as grouping keys; maps cannot be keys and are carried as well.
+    carried = [] if whole_row else [field for field in fields if field.name not in key_names or _is_map(field)]
+    payload = F.struct(F.col(ROW_ID).alias("rid"), *[ref(field.name).alias(f"v{i}") for i, field in enumerate(carried)])
+    picked = ordered.select(*[groupable(field).alias(f"k{i}") for i, field in enumerate(key_fields)], payload.alias("whole"))
+    rid = F.col("whole.rid")
+    if whole_row:
+        choose = (F.max(rid) if keep == "last" else F.min(rid)).alias("rid")
+    else:
+        choose = (F.max_by("whole", rid) if keep == "last" else F.min_by("whole", rid)).alias("whole")
+    survivors = picked.groupBy(*[f"k{i}" for i in range(len(key_fields))]).agg(choose, row_count().alias("copies"))
     if keep is False:
         survivors = survivors.where("copies = 1")
-    columns = [F.col(f"whole.v{i}").alias(field.name) for i, field in enumerate(fields)]
+    place = {field.name: F.col(f"k{i}") for i, field in enumerate(key_fields)}
+    place.update({field.name: F.col(f"whole.v{i}") for i, field in enumerate(carried)})
+    columns = [place[field.name].alias(field.name) for field in fields]
     if carries_order:
-        columns.append(F.col("whole.rid").alias(ROW_ID))
+        columns.append((F.col("rid") if whole_row else F.col("whole.rid")).alias(ROW_ID))
     return survivors.select(*columns)
 
 
+def _is_map(field) -> bool:
+    return "map<" in field.dataType.simpleString()
+
+
 def _has_maps(df: DataFrame) -> bool:
-    return any("map<" in field.dataType.simpleString() for field in data_fields(df))
+    return any(_is_map(field) for field in data_fields(df))

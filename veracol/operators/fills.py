@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import ROW_ID, cell, field_map, ref, row_count
+from ..functions.frames import small_table
 from ..sources.row_order import with_row_order
 
 ROWS_PER_BLOCK = 2_000_000
@@ -31,7 +32,7 @@ def order_blocks(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFra
     wanted = min(MAX_BLOCKS // 4, max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_block)))
     rows_per_block = max(rows_per_block, -(-rows // wanted))
     width = (high - low) // wanted + 1
-    cut = cut.withColumn(_BLOCK, F.expr(f"(`{ROW_ID}` - {low}L) div {width}L"))
+    cut = df.withColumn(_BLOCK, F.expr(f"(`{ROW_ID}` - {low}L) div {width}L"))
     while True:
         sizes = cut.groupBy(_BLOCK).agg(row_count().alias("n"), F.min(ROW_ID).alias("low"), F.max(ROW_ID).alias("high")).orderBy(_BLOCK).collect()
         if all(s["n"] <= 4 * rows_per_block or s["high"] == s["low"] for s in sizes):
@@ -42,7 +43,7 @@ def order_blocks(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFra
             step = (s["high"] - s["low"]) // parts + 1
             plan.append((s[_BLOCK], s["low"], step, base))
             base += (s["high"] - s["low"]) // step + 1
-        lookup = F.broadcast(spark.createDataFrame(plan, f"{_BLOCK} bigint, __low bigint, __step bigint, __base bigint"))
+        lookup = F.broadcast(small_table(spark, plan, f"{_BLOCK} bigint, __low bigint, __step bigint, __base bigint"))
         names = [ref(name) for name in cut.columns if name != _BLOCK]
         cut = cut.join(lookup, _BLOCK).select(*names, F.expr(f"__base + (`{ROW_ID}` - __low) div __step").alias(_BLOCK))
 

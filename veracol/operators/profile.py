@@ -27,6 +27,7 @@ from ..functions.columns import (
     ratio_percent,
     row_count,
 )
+from ..functions.frames import small_table
 from ..sources.row_order import with_row_order
 from . import duplicates, value_counts as vc
 from .quantiles import BUFFER_VALUES, exact_quantiles
@@ -211,7 +212,7 @@ def _probe_dates(df: DataFrame, names: Sequence[str], order_by: str | None) -> d
 def type_breakdown(df: DataFrame, types: Mapping[str, str] | None = None) -> DataFrame:
     """Number of columns per semantic type."""
     types = types or semantic_types(df)
-    rows = df.sparkSession.createDataFrame(list(types.items()), "column_name string, semantic_type string")
+    rows = small_table(df.sparkSession, list(types.items()), "column_name string, semantic_type string")
     return rows.groupBy("semantic_type").agg(row_count().alias("columns"))
 
 

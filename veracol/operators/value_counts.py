@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import ROW_ID, aggregate_long, as_text, cell, field_map
+from ..functions.frames import small_table
 from ..sources.row_order import with_row_order
 
 
@@ -47,7 +48,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
     long = unpivot_cells(df, [(name, as_text(fields[name])) for name in columns])
     # Grouping a column with no values yields nothing, so every name is kept by an outer join with the list.
     counted = long.groupBy("column_name", "value").agg(F.lit(1).alias("one")).groupBy("column_name").agg(F.count(F.lit(1)).alias("found"))
-    names = df.sparkSession.createDataFrame([(name,) for name in columns], T.StructType([T.StructField("column_name", T.StringType())]))
+    names = small_table(df.sparkSession, [(name,) for name in columns], T.StructType([T.StructField("column_name", T.StringType())]))
     return names.join(counted, "column_name", "left").select("column_name", F.coalesce("found", F.lit(0)).cast("bigint").alias("unique_count"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import ROW_ID, ref
+from ..functions.frames import small_table
 
 # File positions are joined by broadcast up to this many files.
 BROADCAST_FILES = 50_000
@@ -41,7 +42,7 @@ def read_parquet_in_order(spark, path: str, *more: str) -> DataFrame:
     columns = [ref(name) for name in df.columns]
     if len(files) <= 1:
         return df.select(*columns, F.col("_metadata.row_index").alias(ROW_ID))
-    numbered = spark.createDataFrame(list(enumerate(files)), "__file bigint, __path string")
+    numbered = small_table(spark, list(enumerate(files)), "__file bigint, __path string")
     if len(files) <= BROADCAST_FILES:
         numbered = F.broadcast(numbered)
     located = df.select(*columns, F.col("_metadata.file_path").alias("__at"), F.col("_metadata.row_index").alias("__row"))
