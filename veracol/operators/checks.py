@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import casts, dates, text
 from ..functions.columns import ROW_ID, aggregate_long, as_text, cell, count_where, data_fields, field_map, fields_of, groupable, kind, row_count
 from ..functions.frames import small_table
+from ..functions.together import run_together
+from ..session import cut_lineage
 from ..sources.row_order import with_row_order
 from . import duplicates, value_counts as vc
 from .profile import percent
@@ -235,18 +237,28 @@ def case_variant_counts(df: DataFrame, columns: Sequence[str] | None = None, ord
     return case_variants(df, columns, order_by).groupBy("column_name").agg(row_count().alias("groups"), F.sum("affected_count").cast("bigint").alias("affected_count"))
 
 
-def case_variant_samples(df: DataFrame, columns: Sequence[str], limit: int = 5, order_by: str | None = None) -> DataFrame:
-    """``{A, a}`` texts of the first groups per column, spellings in first-seen order."""
-    names = list(columns)
-    counts = vc.value_counts(df, names, order_by, transform=text.strip).withColumn("folded", F.lower("value"))
-    groups = counts.groupBy("column_name", "folded").agg(row_count().alias("spellings"), F.min("first_seen").alias("seen")).where("spellings > 1")
-    first = Window.partitionBy("column_name").orderBy("seen", "folded")
-    chosen = groups.withColumn("at", F.row_number().over(first)).where(F.col("at") <= limit).select("column_name", "folded", "at")
-    # `chosen` has at most limit rows per column; only their spellings are gathered.
-    spelled = counts.join(F.broadcast(chosen), ["column_name", "folded"])
-    sets = spelled.groupBy("column_name", "at").agg(F.array_sort(F.collect_list(F.struct("first_seen", "value"))).alias("pairs"))
-    shown = F.concat(F.lit("{"), F.array_join(F.transform("pairs", lambda pair: pair["value"]), ", "), F.lit("}"))
-    return sets.select("column_name", "at", shown.alias("shown"))
+def case_variant_report(df: DataFrame, columns: Sequence[str], limit: int = 5, order_by: str | None = None) -> dict[str, tuple[int, list[str]]]:
+    """(affected rows, first groups as ``{A, a}``) per column that has variants.
+
+    Spellings and groups come in first-seen order. The variant groups are stored once, so the value
+    counts are shuffled once; the spellings of the at most ``limit`` shown groups per column come
+    from a scan that keeps only their values.
+    """
+    groups = cut_lineage(case_variants(df, columns, order_by))
+    totals = groups.groupBy("column_name").agg(F.sum("affected_count").cast("bigint").alias("affected_count")).collect()
+    if not totals:
+        return {}
+    first = Window.partitionBy("column_name").orderBy("first_seen", "folded")
+    chosen = groups.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit).select("column_name", "folded", "place").collect()
+    fields, varied = field_map(df), [row["column_name"] for row in totals]
+    cells = vc.unpivot_cells(with_row_order(df, order_by), [(name, text.strip(cell(fields[name]))) for name in varied], [ROW_ID])
+    listed = F.broadcast(small_table(df.sparkSession, [tuple(row) for row in chosen], "column_name string, folded string, place int"))
+    spelled = cells.withColumn("folded", F.lower("value")).join(listed, ["column_name", "folded"])
+    spellings = spelled.groupBy("column_name", "place", "value").agg(F.min(ROW_ID).alias("seen")).collect()
+    shown: dict[str, dict[int, list[str]]] = {name: {} for name in varied}
+    for row in sorted(spellings, key=lambda row: (row["place"], row["seen"], row["value"])):
+        shown[row["column_name"]].setdefault(row["place"], []).append(row["value"])
+    return {row["column_name"]: (row["affected_count"], ["{" + ", ".join(values) + "}" for values in shown[row["column_name"]].values()]) for row in totals}
 
 
 def unlisted_counts(df: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
@@ -405,27 +417,36 @@ def analyze(
     """Run every check and compile the report, in the order missing, duplicate, format, range, category, outlier."""
     rules = rules or CheckRules()
     fields = data_fields(df)
-    fences = outlier_fences(df, outlier_method)
-    allowed = allowed_probes(df, rules.category_rules)
+    if not fields:
+        return QualityReport(0, 0, [])
+    texts = [f.name for f in fields_of(df, "text")]
+    fences, copies, key_issues, variants = run_together(
+        df.sparkSession,
+        lambda: outlier_fences(df, outlier_method),
+        lambda: duplicates.duplicate_counts(df, method=duplicate_method).first(),
+        lambda: _key_collisions(df, rules.id_columns, sample_limit, order_by),
+        lambda: case_variant_report(df, texts, sample_limit, order_by) if texts else {},
+    )
+    rows, copies = copies["total_rows"], copies["duplicate_rows"]
+    if rows == 0:
+        return QualityReport(0, len(fields), [])
     probes = [
         *missing_probes(df),
         *format_probes(df, rules.format_rules),
         *range_probes(df, rules.range_rules),
         *type_probes(df, rules.type_rules),
-        *allowed,
+        *allowed_probes(df, rules.category_rules),
         *outlier_probes(df, fences),
     ]
-    if not probes:
-        return QualityReport(0, 0, [])
-    counts = count_probes(df, probes).collect()
-    rows = counts[0]["total_rows"]
-    if rows == 0:
-        return QualityReport(0, len(fields), [])
+    shown_probes = [p for p in probes if p.category != MISSING]
+    counts, sampled, unlisted = run_together(
+        df.sparkSession,
+        lambda: count_probes(df, probes).collect(),
+        lambda: sample_values(df, shown_probes, sample_limit, order_by).collect() if shown_probes and sample_limit else [],
+        lambda: _long_lists(df, rules.category_rules, texts),
+    )
     affected = {(c["category"], c["column_name"], c["rule"]): c["affected_count"] for c in counts}
-    hit = [p for p in probes if affected[(p.category, p.column, p.rule)] and p.category != MISSING]
-    samples = {}
-    if hit and sample_limit:
-        samples = {(s["category"], s["column_name"], s["rule"]): s["sample_values"] for s in sample_values(df, hit, sample_limit, order_by).collect()}
+    samples = {(s["category"], s["column_name"], s["rule"]): s["sample_values"] for s in sampled}
 
     def hits(category: str):
         for p in probes:
@@ -438,63 +459,57 @@ def analyze(
         severity = CRITICAL if share >= critical_missing_threshold else WARNING
         issues.append(Issue(MISSING, severity, p.column, f"{n:,} values of '{p.column}' are missing ({share}%).", n, share, [], "Fill with mode, median or a default, or drop the rows."))
 
-    copies = duplicates.duplicate_counts(df, method=duplicate_method).first()["duplicate_rows"]
     if copies:
         share = percent(copies, rows)
         issues.append(Issue(DUPLICATE, WARNING, None, f"{copies:,} rows repeat an earlier row exactly ({share}%).", copies, share, [], "Remove the copies, keeping the first."))
-    issues += _key_issues(df, rules.id_columns, rows, sample_limit, order_by)
+    for label, n, shown in key_issues:
+        issues.append(Issue(DUPLICATE, CRITICAL, label, f"{n:,} rows share a value of the key '{label}'.", n, percent(n, rows), shown, "Check how the key is made, or deduplicate on it."))
     for p, n, share, shown in hits(FORMAT):
         issues.append(Issue(FORMAT, WARNING, p.column, f"{n:,} values of '{p.column}' do not match the format '{p.rule}'.", n, share, shown, f"Correct the values to follow '{p.rule}'."))
     for p, n, share, shown in hits(RANGE):
         issues.append(Issue(RANGE, WARNING, p.column, f"{n:,} values of '{p.column}' are out of range ({p.rule}).", n, share, shown, "Clamp to the bounds or set to null."))
     for p, n, share, shown in hits(TYPE):
         issues.append(Issue(TYPE, WARNING, p.column, f"{n:,} values of '{p.column}' do not read as {p.rule}.", n, share, shown, f"Convert to {p.rule} or set to null."))
-    issues += _category_issues(df, rules.category_rules, allowed, list(hits(CATEGORY)), rows, sample_limit, order_by)
+    found = {p.column: (n, shown) for p, n, _, shown in hits(CATEGORY)} | unlisted
+    issues += _category_issues(texts, variants, found, rows)
     for p, n, share, shown in hits(OUTLIER):
         issues.append(Issue(OUTLIER, INFO, p.column, f"{n:,} values of '{p.column}' are outliers ({outlier_method.upper()}).", n, share, shown, "Review; an outlier need not be an error."))
     return QualityReport(rows, len(fields), issues)
 
 
-def _key_issues(df, keys, rows: int, limit: int, order_by: str | None) -> list[Issue]:
+def _key_collisions(df: DataFrame, keys, limit: int, order_by: str | None) -> list[tuple[str, int, list[str]]]:
+    """(key, rows sharing a key value, first such values) per key that collides."""
     counted = key_duplicate_counts(df, keys)
-    if counted is None:
-        return []
-    found = {row["column_name"]: row["affected_count"] for row in counted.collect()}
-    issues = []
+    found = {row["column_name"]: row["affected_count"] for row in counted.collect()} if counted is not None else {}
+    collisions = []
     for key in keys:
         names = [key] if isinstance(key, str) else list(key)
-        label = ",".join(names)
-        if not found.get(label):
-            continue
-        shown = [", ".join(str(value) for value in row[: len(names)]) for row in key_duplicate_samples(df, names, limit, order_by).collect()]
-        n = found[label]
-        issues.append(Issue(DUPLICATE, CRITICAL, label, f"{n:,} rows share a value of the key '{label}'.", n, percent(n, rows), shown, "Check how the key is made, or deduplicate on it."))
-    return issues
+        n = found.get(",".join(names), 0)
+        if n:
+            sampled = key_duplicate_samples(df, names, limit, order_by).collect()
+            collisions.append((",".join(names), n, [", ".join(str(value) for value in row[: len(names)]) for row in sampled]))
+    return collisions
 
 
-def _category_issues(df, rules, allowed: list[Probe], unlisted, rows: int, limit: int, order_by: str | None) -> list[Issue]:
-    names = [f.name for f in fields_of(df, "text")]
-    if not names:
-        return []
-    variants = {row["column_name"]: row["affected_count"] for row in case_variant_counts(df, names, order_by).collect()}
-    shown: dict[str, list[str]] = {}
-    if variants:
-        for row in case_variant_samples(df, list(variants), limit, order_by).orderBy("column_name", "at").collect():
-            shown.setdefault(row["column_name"], []).append(row["shown"])
-    found = {p.column: (n, samples) for p, n, _, samples in unlisted}
-    inline = {p.column for p in allowed}
+def _long_lists(df: DataFrame, rules: Mapping[str, Sequence[str]], texts: Sequence[str]) -> dict[str, tuple[int, list[str]]]:
+    """Counts for allowed-value lists that are too long for a set in an expression."""
+    found = {}
     for name, values in rules.items():
-        if name in names and name not in inline:
+        if name in texts and len(set(values)) > INLINE_SET:
             listed = small_table(df.sparkSession, [(value,) for value in set(values)], "value string")
             n = unlisted_counts(df, name, listed).first()["affected_count"]
             if n:
                 found[name] = (n, [])
+    return found
+
+
+def _category_issues(texts: Sequence[str], variants, unlisted, rows: int) -> list[Issue]:
     issues = []
-    for name in names:
+    for name in texts:
         if name in variants:
-            n = variants[name]
-            issues.append(Issue(CATEGORY, INFO, name, f"'{name}' mixes spellings that differ by case: {'; '.join(shown[name])}.", n, percent(n, rows), shown[name], "Choose one casing for the column."))
-        if name in found:
-            n, samples = found[name]
-            issues.append(Issue(CATEGORY, WARNING, name, f"{n:,} values of '{name}' are not among the allowed categories.", n, percent(n, rows), samples, "Map unknown categories to known ones or to 'Other'."))
+            n, shown = variants[name]
+            issues.append(Issue(CATEGORY, INFO, name, f"'{name}' mixes spellings that differ by case: {'; '.join(shown)}.", n, percent(n, rows), shown, "Choose one casing for the column."))
+        if name in unlisted:
+            n, shown = unlisted[name]
+            issues.append(Issue(CATEGORY, WARNING, name, f"{n:,} values of '{name}' are not among the allowed categories.", n, percent(n, rows), shown, "Map unknown categories to known ones or to 'Other'."))
     return issues

@@ -28,6 +28,7 @@ from ..functions.columns import (
     row_count,
 )
 from ..functions.frames import small_table
+from ..functions.together import run_together
 from ..sources.row_order import with_row_order
 from . import duplicates, value_counts as vc
 from .quantiles import BUFFER_VALUES, exact_quantiles
@@ -309,17 +310,23 @@ def profile(df: DataFrame, top_n: int = 5, order_by: str | None = None, duplicat
     types = dict(families)
     types.update(_probe_dates(df, [name for name in texts if 1 <= filled[name] <= DATE_PROBE_LIMIT], order_by))
 
-    uniques = {row["column_name"]: row["unique_count"] for row in vc.distinct_counts(df, names, approximate).collect()} if rows else {}
     numeric = [name for name in names if types[name] == "numeric" and filled[name]]
     dated = [name for name in names if types[name] == "datetime" and filled[name]]
     worded = [name for name in names if types[name] in ("text", "boolean") and filled[name]]
-    numbers = _by_column(numeric_stats(df, numeric, filled)) if numeric else {}
-    calendar = _by_column(datetime_stats(df, dated)) if dated else {}
-    lengths = _by_column(text_stats(df, worded)) if worded else {}
+    counted, numbers, calendar, lengths, ranked, copies, sizes = run_together(
+        df.sparkSession,
+        lambda: vc.distinct_counts(df, names, approximate).collect() if rows else [],
+        lambda: _by_column(numeric_stats(df, numeric, filled)) if numeric else {},
+        lambda: _by_column(datetime_stats(df, dated)) if dated else {},
+        lambda: _by_column(text_stats(df, worded)) if worded else {},
+        lambda: top_values(df, worded, top_n, order_by).orderBy("column_name", "rank").collect() if worded else [],
+        lambda: duplicates.duplicate_counts(df, method=duplicate_method).first()["duplicate_rows"] if rows else 0,
+        lambda: footprint(df).collect() if rows else [],
+    )
+    uniques = {row["column_name"]: row["unique_count"] for row in counted}
     tops: dict[str, dict[str, int]] = {name: {} for name in worded}
-    if worded:
-        for row in top_values(df, worded, top_n, order_by).orderBy("column_name", "rank").collect():
-            tops[row["column_name"]][row["value"]] = row["n"]
+    for row in ranked:
+        tops[row["column_name"]][row["value"]] = row["n"]
 
     columns: dict[str, dict[str, Any]] = {}
     for field in fields:
@@ -348,8 +355,7 @@ def profile(df: DataFrame, top_n: int = 5, order_by: str | None = None, duplicat
         }
     ranking = sorted((c for c in columns.values() if c["null_count"]), key=lambda c: -c["null_count"])
     missing = sum(c["null_count"] for c in columns.values())
-    copies = duplicates.duplicate_counts(df, method=duplicate_method).first()["duplicate_rows"] if rows else 0
-    size = sum(row["bytes"] for row in footprint(df).collect()) if rows else 0
+    size = sum(row["bytes"] for row in sizes)
     breakdown: dict[str, int] = {}
     for name in names:
         breakdown[types[name]] = breakdown.get(types[name], 0) + 1

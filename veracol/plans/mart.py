@@ -201,21 +201,40 @@ def flat_table(datasets: DataFrame, versions: DataFrame, reports: DataFrame) ->
     )
 
 
-def star_schema(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """All nine tables of the mart from the catalogue tables."""
-    datasets, versions, reports = tables["datasets"], tables["versions"], tables["reports"]
-    spark = datasets.sparkSession
-    return {
-        "Dim_Dataset": dim_dataset(datasets),
-        "Dim_Version": dim_version(versions),
-        "Dim_Severity": dim_severity(spark),
-        "Dim_Grade": dim_grade(spark),
-        "Dim_Date": dim_date(event_timestamps(datasets, versions, reports)),
-        "Fact_QualityEvaluation": fact_evaluations(reports, versions),
-        "Fact_QualityIssues": fact_issues(tables["issues"], reports, versions),
-        "Fact_CleaningJobs": fact_jobs(tables["jobs"], versions, reports),
-        "Platform_Quality_Analytics_Flat": flat_table(datasets, versions, reports),
-    }
+class StarSchema(Mapping):
+    """The nine tables of the mart by name; a table is planned when it is first asked for."""
+
+    def __init__(self, tables: Mapping[str, DataFrame]):
+        self._tables = tables
+        self._planned: dict[str, DataFrame] = {}
+        t = tables
+        self._plans = {
+            "Dim_Dataset": lambda: dim_dataset(t["datasets"]),
+            "Dim_Version": lambda: dim_version(t["versions"]),
+            "Dim_Severity": lambda: dim_severity(t["datasets"].sparkSession),
+            "Dim_Grade": lambda: dim_grade(t["datasets"].sparkSession),
+            "Dim_Date": lambda: dim_date(event_timestamps(t["datasets"], t["versions"], t["reports"])),
+            "Fact_QualityEvaluation": lambda: fact_evaluations(t["reports"], t["versions"]),
+            "Fact_QualityIssues": lambda: fact_issues(t["issues"], t["reports"], t["versions"]),
+            "Fact_CleaningJobs": lambda: fact_jobs(t["jobs"], t["versions"], t["reports"]),
+            "Platform_Quality_Analytics_Flat": lambda: flat_table(t["datasets"], t["versions"], t["reports"]),
+        }
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._planned:
+            self._planned[name] = self._plans[name]()
+        return self._planned[name]
+
+    def __iter__(self):
+        return iter(self._plans)
+
+    def __len__(self) -> int:
+        return len(self._plans)
+
+
+def star_schema(tables: Mapping[str, DataFrame]) -> StarSchema:
+    """The mart over the catalogue tables."""
+    return StarSchema(tables)
 
 
 # Fact column -> dimension column; the last edge is the inactive (source version) one.

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STAGES: dict[str, list[str]] = {}
+
 
 def build_session(app_name: str = "veracol", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC timestamps and Arrow transfer switched on."""
@@ -49,6 +51,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later jobs read the stored rows instead of repeating the shuffles."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared scratch folder and read them back.
+
+    Later jobs read a columnar table instead of repeating the shuffles before it, and a lost
+    executor costs them nothing but the tasks it was running.
+    """
+    spark = df.sparkSession
+    if any(part in df.schema.simpleString() for part in ("void", "interval", "variant")):
+        scratch_root(spark)
+        return df.checkpoint(eager=True)  # types a Parquet table cannot hold
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_stages(spark: SparkSession) -> int:
+    """Delete the tables ``cut_lineage`` wrote in this application; frames built on them end with it."""
+    paths = _STAGES.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(paths)

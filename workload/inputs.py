@@ -7,6 +7,7 @@ SQL. The same text feeds Spark and the comparison engine.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -113,17 +114,34 @@ def derive(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFra
     return _sql(spark, text, **{name: table(spark, sf_dir, name) for name in tables})
 
 
-def gov(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Catalogue tables in the catalogue's own schema."""
-    frames = {name: table(spark, sf_dir, name) for name in ("customer", "orders", "lineitem")}
-    for name, text in _GOV.items():
-        used = {key: frame for key, frame in frames.items() if "{" + key + "}" in text}
-        frames[name] = _sql(spark, text, **used)
-    return {
-        "datasets": frames["gov_datasets"],
-        "versions": frames["gov_versions"],
-        "reports": frames["gov_reports"],
-        "issues": frames["gov_issues"],
-        "jobs": frames["gov_jobs"],
-        "scorecards": frames["gov_scorecards"].drop("scored"),
-    }
+class GovTables(Mapping):
+    """Catalogue tables in the catalogue's own schema, each planned when it is first used."""
+
+    _names = {"datasets": "gov_datasets", "versions": "gov_versions", "reports": "gov_reports", "issues": "gov_issues", "jobs": "gov_jobs", "scorecards": "gov_scorecards"}
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._sf_dir = spark, sf_dir
+        self._frames: dict[str, DataFrame] = {}
+
+    def _frame(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            if name not in _GOV:
+                self._frames[name] = table(self._spark, self._sf_dir, name)
+            else:
+                used = [other for other in ("customer", "orders", "lineitem", *_GOV) if "{" + other + "}" in _GOV[name]]
+                self._frames[name] = _sql(self._spark, _GOV[name], **{other: self._frame(other) for other in used})
+        return self._frames[name]
+
+    def __getitem__(self, name: str) -> DataFrame:
+        frame = self._frame(self._names[name])
+        return frame.drop("scored") if name == "scorecards" else frame
+
+    def __iter__(self):
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
+def gov(spark: SparkSession, sf_dir: str) -> GovTables:
+    return GovTables(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from veracol.functions.frames import small_table
 from veracol.plans import mart
@@ -46,14 +46,15 @@ def ordered_scan(spark, sf_dir):
     spark.read.parquet(f"{sf_dir}/orders.parquet").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
     stored = read_parquet_in_order(spark, path)
     per_file = F.shiftright("__rid", 40)
-    sizes = stored.groupBy(per_file.alias("file")).agg(F.count(F.lit(1)).alias("n"))
-    smaller = sizes.alias("a").join(sizes.alias("b"), F.col("b.file") < F.col("a.file"), "left").groupBy("a.file").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    sizes = stored.groupBy(per_file.alias("file")).agg(F.count(F.lit(1)).alias("n"))  # one row per file
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    smaller = sizes.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     inside = F.col("__rid").bitwiseAND(F.lit((1 << 40) - 1))
     return stored.withColumn("file", per_file).join(smaller, "file").select("o_orderkey", (inside + F.col("before")).alias("position"))
 
 
 _TYPED = "SELECT '{c}' AS column_name, CASE WHEN count({c}) = count(TRY_CAST({c} AS BIGINT)) THEN 'bigint' WHEN count({c}) = count(TRY_CAST({c} AS DOUBLE)) THEN 'double' WHEN count({c}) = count(*) FILTER (WHERE lower({c}) IN ('true', 'false')) THEN 'boolean' ELSE 'string' END AS type FROM t"
-_TEXTED = "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_discount AS VARCHAR) AS l_discount, l_returnflag, CASE WHEN l_quantity > 25 THEN 'True' ELSE 'False' END AS large FROM {lineitem}"
+_TEXTED = "SELECT CAST(l_orderkey AS VARCHAR(20)) AS l_orderkey, CAST(l_discount AS VARCHAR(20)) AS l_discount, l_returnflag, CASE WHEN l_quantity > 25 THEN 'True' ELSE 'False' END AS large FROM {lineitem}"
 
 
 @query("s03_type_inference", f"WITH t AS ({_TEXTED.replace('{lineitem}', 'lineitem')}) " + union_all([_TYPED.replace("{c}", c) for c in ("l_orderkey", "l_discount", "l_returnflag", "large")]))
