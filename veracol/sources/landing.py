@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.frames import small_table
 from ..functions.text import base_name, display_name, extension
 
 # Accepted types, the size limit and file signatures.
@@ -21,13 +24,17 @@ def read_landing(spark, path: str) -> DataFrame:
     """(path, length, head) of the files below a folder.
 
     Contents are opened only for files small enough to be accepted; the length filter is applied
-    by the reader before it opens a file. Larger files are listed without a head.
+    by the reader before it opens a file. Larger files are listed without a head. Spark's scans
+    pass over empty files, so these are taken from the scan's own file listing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     head = F.substring("content", 1, HEAD_BYTES)
     small = files.where(F.col("length") <= MAX_BYTES).select("path", "length", head.alias("head"))
     large = files.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("head"))
-    return small.unionByName(large)
+    listed = [(unquote(name).replace("file:///", "file:/", 1),) for name in files.inputFiles()]
+    unread = small_table(spark, listed, "path string").join(files.select("path"), "path", "left_anti")
+    empty = unread.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("head"))
+    return small.unionByName(large).unionByName(empty)
 
 
 def screen_files(files: DataFrame) -> DataFrame:
