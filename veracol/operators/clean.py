@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import casts, dates, text
 from ..functions.columns import ROW_ID, aggregate_long, cell, count_where, data_fields, field_map, fields_of, kind, nan_to_null, ref, row_count
 from ..functions.frames import small_table
+from ..functions.together import run_together
 from ..session import cut_lineage
 from ..sources.row_order import with_row_order
 from . import checks, duplicates
@@ -412,14 +413,16 @@ class CleaningResult:
         return json.dumps(self.to_dict(), indent=indent, default=str, ensure_ascii=False)
 
 
-def table_stats(df: DataFrame) -> DataFrame:
+def table_stats(df: DataFrame, duplicate_method: str = "exact") -> DataFrame:
     """One row: rows, columns, cells, missing cells and duplicate rows; null = null.
 
     The missing cells of a row are the same in all its copies, so grouping the distinct rows once
-    yields every figure.
+    yields every figure. With fingerprints the missing cells are added up per fingerprint.
     """
     fields = data_fields(df)
     columns = len(fields)
+    if duplicate_method == "fingerprint":
+        return _fingerprint_stats(df, columns)
     sizes = duplicates.group_sizes(df)
     missing = F.lit(0)
     for i in range(columns):
@@ -436,10 +439,26 @@ def table_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def stats_of(df: DataFrame) -> dict[str, Any]:
+def _fingerprint_stats(df: DataFrame, columns: int) -> DataFrame:
+    gaps = F.lit(0)
+    for field in data_fields(df):
+        gaps = gaps + cell(field).isNull().cast("int")
+    keyed = df.select(*duplicates.fingerprint(df), gaps.alias("gaps")).groupBy("k0", "k1").agg(row_count().alias("n"), F.sum("gaps").alias("gaps"))
+    zero = F.lit(0)
+    total = F.coalesce(F.sum("n"), zero).cast("bigint")
+    return keyed.agg(
+        total.alias("total_rows"),
+        F.lit(columns).cast("bigint").alias("total_columns"),
+        (total * F.lit(columns)).cast("bigint").alias("total_cells"),
+        F.coalesce(F.sum("gaps"), zero).cast("bigint").alias("missing_cells"),
+        F.coalesce(F.sum(F.col("n") - 1), zero).cast("bigint").alias("duplicate_rows"),
+    )
+
+
+def stats_of(df: DataFrame, duplicate_method: str = "exact") -> dict[str, Any]:
     if not data_fields(df):
         return {"total_rows": 0, "total_columns": 0, "total_cells": 0, "missing_cells": 0, "missing_percentage": 0.0, "duplicate_rows": 0}
-    stats = table_stats(df).first().asDict()
+    stats = table_stats(df, duplicate_method).first().asDict()
     stats["missing_percentage"] = percent(stats["missing_cells"], stats["total_cells"])
     return stats
 
@@ -452,12 +471,20 @@ class _Log:
         self.steps.append(CleaningStep(len(self.steps) + 1, operation, column, dict(parameters), affected, details))
 
 
-def clean(df: DataFrame, rules: CleaningRules | None = None, order_by: str | None = None) -> CleaningResult:
-    """Clean a table in a fixed order and log every step that changed something."""
+def clean(df: DataFrame, rules: CleaningRules | None = None, order_by: str | None = None, duplicate_method: str = "exact") -> CleaningResult:
+    """Clean a table in a fixed order and log every step that changed something.
+
+    The figures before cleaning do not depend on the steps, so both run at the same time.
+    """
     rules = rules or CleaningRules()
     df = nan_to_null(df)
     log = _Log()
-    before = stats_of(df)
+    before, work = run_together(df.sparkSession, lambda: stats_of(df, duplicate_method), lambda: _run_steps(df, rules, log, order_by))
+    cleaned = work.drop(ROW_ID)
+    return CleaningResult(cleaned, log.steps, before, stats_of(cleaned, duplicate_method))
+
+
+def _run_steps(df: DataFrame, rules: CleaningRules, log: _Log, order_by: str | None) -> DataFrame:
     work = with_row_order(df, order_by)
     if rules.drop_empty:
         work = drop_empty_columns(drop_empty_rows(work))
@@ -471,8 +498,7 @@ def clean(df: DataFrame, rules: CleaningRules | None = None, order_by: str | Non
         work = _clean_outliers(work, rules, log)
     if rules.type_conversions:
         work = _clean_types(work, rules, log)
-    cleaned = work.drop(ROW_ID)
-    return CleaningResult(cleaned, log.steps, before, stats_of(cleaned))
+    return work
 
 
 def _clean_headers(df: DataFrame, rules: CleaningRules, log: _Log) -> DataFrame:
@@ -556,8 +582,8 @@ def _clean_duplicates(df: DataFrame, rules: CleaningRules, log: _Log) -> DataFra
         return df
     columns = None if subset is True else list(subset)
     # Later passes and the final write read the deduplicated rows instead of shuffling again.
-    kept = cut_lineage(duplicates.drop_duplicate_rows(df, columns, rules.keep))
-    removed = df.count() - kept.count()
+    kept, rows = run_together(df.sparkSession, lambda: cut_lineage(duplicates.drop_duplicate_rows(df, columns, rules.keep)), df.count)
+    removed = rows - kept.count()
     if removed:
         log.add("drop_duplicates", None, {"subset": subset, "keep": rules.keep}, removed, f"Removed {removed:,} duplicate rows (keep={rules.keep}).")
     return kept

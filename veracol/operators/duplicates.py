@@ -16,7 +16,7 @@ def _keys(df: DataFrame, subset: Sequence[str] | None) -> list[Column]:
     return [groupable(field).alias(f"k{i}") for i, field in enumerate(chosen)]
 
 
-def _fingerprint(df: DataFrame, subset: Sequence[str] | None) -> list[Column]:
+def fingerprint(df: DataFrame, subset: Sequence[str] | None = None) -> list[Column]:
     """128 bits per row from two hashes over different orders, plus which cells are null."""
     fields = field_map(df)
     chosen = data_fields(df) if subset is None else [fields[name] for name in subset]
@@ -31,7 +31,7 @@ def group_sizes(df: DataFrame, subset: Sequence[str] | None = None, method: str
     ``method='fingerprint'`` shuffles 16 bytes per distinct row instead of the row. Two different
     rows share a fingerprint with probability about rows^2 / 2^129; the default compares the cells.
     """
-    keys = _fingerprint(df, subset) if method == "fingerprint" else _keys(df, subset)
+    keys = fingerprint(df, subset) if method == "fingerprint" else _keys(df, subset)
     if not keys:
         return df.agg(row_count().alias("n"))
     names = [f"k{i}" for i in range(len(keys))]

@@ -70,9 +70,10 @@ def fill_in_order(
         edges.append(pick(cell(fields[name]), filled_key(name)).alias(f"__e{i}"))
         carried = F.last(f"__e{i}", ignorenulls=True).over(before[way].rowsBetween(Window.unboundedPreceding, -1))
         entering.append(carried.alias(f"__in{i}"))
-    # One row per block (at most MAX_BLOCKS), hence the window over all of them and the broadcast.
+    # One row per block (at most MAX_BLOCKS), hence the window over all of them. The join is on the
+    # key the window below partitions by, so it costs no shuffle of its own.
     carry = cut.groupBy(_BLOCK).agg(*edges).select(_BLOCK, *entering)
-    joined = cut.join(F.broadcast(carry), _BLOCK)
+    joined = cut.join(carry, _BLOCK)
 
     block = Window.partitionBy(_BLOCK)
     inside = {"ffill": block.orderBy(ROW_ID), "bfill": block.orderBy(F.desc(ROW_ID))}

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import cell, chunks, count_where, field_map
 
-BUFFER_VALUES = 1_000_000
+BUFFER_VALUES = 200_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -33,6 +33,7 @@ class _Search:
     low: float | None = None
     high: float | None = None
     value: float | None = None
+    following: float | None = None  # value at rank + 1
 
     def values(self, column: Column) -> Column:
         keep = column.isNotNull()
@@ -79,9 +80,8 @@ def _by_search(df, doubles, counts, probabilities, buffer_values) -> dict[str, l
     wanted: dict[tuple[str, int], _Search] = {}
     for name in doubles:
         for probability in probabilities:
-            lower = math.floor((counts[name] - 1) * probability)
-            for rank in {lower, min(lower + 1, counts[name] - 1)}:
-                wanted.setdefault((name, rank), _Search(name, rank, skipped=0, inside=counts[name]))
+            rank = math.floor((counts[name] - 1) * probability)
+            wanted.setdefault((name, rank), _Search(name, rank, skipped=0, inside=counts[name]))
     open_searches = list(wanted.values())
     while open_searches:
         ready = [s for s in open_searches if s.inside <= buffer_values]
@@ -91,9 +91,22 @@ def _by_search(df, doubles, counts, probabilities, buffer_values) -> dict[str, l
         for part in chunks(narrowing, 16):
             _narrow(df, doubles, part)
         open_searches = [s for s in narrowing if s.value is None]
+    for part in chunks(list(wanted.values()), 20):
+        _successors(df, doubles, part)
     return {name: [_interpolate(wanted, name, counts[name], p) for p in probabilities] for name in doubles}
 
 
+def _successors(df: DataFrame, doubles, searches: Sequence[_Search]) -> None:
+    """The value at the next rank: the same one if it repeats, else the smallest above it."""
+    measures = []
+    for i, s in enumerate(searches):
+        column = doubles[s.column]
+        measures += [count_where(column <= F.lit(s.value)).alias(f"n{i}"), F.min(F.when(column > F.lit(s.value), column)).alias(f"m{i}")]
+    row = df.agg(*measures).first()
+    for i, s in enumerate(searches):
+        s.following = s.value if row[f"n{i}"] > s.rank + 1 or row[f"m{i}"] is None else row[f"m{i}"]
+
+
 def _finish(df: DataFrame, doubles, searches: Sequence[_Search]) -> None:
     """Few values are left inside: sort them and pick."""
     picks = [
@@ -142,10 +155,6 @@ def _narrow(df: DataFrame, doubles, searches: Sequence[_Search]) -> None:
 
 def _interpolate(wanted, name: str, count: int, probability: float) -> float:
     position = (count - 1) * probability
-    lower = math.floor(position)
-    low = wanted[(name, lower)].value
-    share = position - lower
-    if share == 0.0:
-        return low
-    high = wanted[(name, min(lower + 1, count - 1))].value
-    return low + (high - low) * share
+    search = wanted[(name, math.floor(position))]
+    share = position - search.rank
+    return search.value if share == 0.0 else search.value + (search.following - search.value) * share

@@ -109,10 +109,16 @@ def latest_versions(versions: DataFrame) -> DataFrame:
 
 
 def report_with_issues(reports: DataFrame, issues: DataFrame, version_ids: DataFrame) -> DataFrame:
-    """Report and issue rows of the given versions (column ``version_id``); reports without issues stay."""
-    chosen = reports.join(version_ids.select("version_id"), "version_id", "left_semi")
+    """Report and issue rows of the given versions (column ``version_id``); reports without issues stay.
+
+    An outer join could not split a report that owns very many issues. The issues meet their
+    reports in an inner join instead, and reports without any are added.
+    """
+    chosen = reports.join(version_ids.select("version_id"), "version_id", "left_semi").select(F.col("id").alias("report_id"), "version_id", "overall_score")
     detail = issues.select("report_id", "category", "severity", "column_name", "affected_count")
-    return chosen.select(F.col("id").alias("report_id"), "version_id", "overall_score").join(detail, "report_id", "left")
+    with_issues = detail.join(chosen, "report_id")
+    reported = issues.groupBy("report_id").agg(row_count().alias("n")).select("report_id")
+    return with_issues.unionByName(chosen.join(reported, "report_id", "left_anti"), allowMissingColumns=True)
 
 
 def visible_to(datasets: DataFrame, requester: str | None) -> DataFrame:
@@ -138,13 +144,12 @@ def cascade_delete(tables: Mapping[str, DataFrame], dataset_ids: DataFrame) -> d
     datasets, versions, reports = tables["datasets"], tables["versions"], tables["reports"]
     gone_versions = versions.join(gone.select(F.col("id").alias("dataset_id")), "dataset_id", "left_semi").select("id")
     gone_reports = reports.join(gone_versions.select(F.col("id").alias("version_id")), "version_id", "left_semi").select("id")
-    kept_versions = versions.join(gone_versions, "id", "left_anti")
+    kept = versions.join(gone_versions, "id", "left_anti")
+    # First versions have no parent; kept out of the join, their nulls do not meet in one task.
     orphan = gone_versions.select(F.col("id").alias("parent_version_id"), F.lit(True).alias("__gone"))
-    kept_versions = (
-        kept_versions.join(orphan, "parent_version_id", "left")
-        .withColumn("parent_version_id", F.when(F.col("__gone").isNull(), F.col("parent_version_id")))
-        .select(*versions.columns)
-    )
+    pointed = kept.where("parent_version_id is not null").join(orphan, "parent_version_id", "left")
+    cleared = pointed.withColumn("parent_version_id", F.when(F.col("__gone").isNull(), F.col("parent_version_id")))
+    kept_versions = kept.where("parent_version_id is null").select(*versions.columns).unionByName(cleared.select(*versions.columns))
     jobs = tables["jobs"]
     for end in ("source_version_id", "target_version_id"):
         jobs = jobs.join(gone_versions.select(F.col("id").alias(end)), end, "left_anti")

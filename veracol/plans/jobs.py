@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.together import run_together
 from ..operators.checks import CheckRules, QualityReport, analyze
 from ..operators.clean import CleaningResult, CleaningRules, clean
 from ..operators.profile import TableProfile, profile
@@ -46,8 +47,7 @@ def ingest_table(catalog: Catalog, df: DataFrame, name: str, filename: str, user
     dataset_id = catalog.register(name, filename, user_id=user_id)
     version = catalog.create_version(dataset_id, df)
     stored = read_parquet_in_order(catalog.spark, version.storage_path)
-    described = profile(stored)
-    report = analyze(stored, rules)
+    described, report = run_together(catalog.spark, lambda: profile(stored), lambda: analyze(stored, rules))
     result = score_report(report)
     catalog.save_report(version.id, result, report)
     return IngestResult(dataset_id, version, described, report, result)
