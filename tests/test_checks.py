@@ -92,6 +92,7 @@ def test_outliers_need_values_and_spread(make):
 def test_infinities_do_not_break_outliers(make):
     df = make("id bigint, val double", [(i, v) for i, v in enumerate([10.0, float("inf"), float("-inf"), 1e18, -1e18] * 3)])
     assert Q.analyze(df).total_rows == 15
+    assert issues_of(Q.analyze(df, outlier_method="zscore"), "OUTLIER") == []
 
 
 def test_type_rule(make):

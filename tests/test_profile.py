@@ -24,7 +24,7 @@ def test_known_statistics(make):
     age = result.columns["age"]["numeric_stats"]
     assert (age["min"], age["max"], age["mean"], age["median"]) == (25.0, 40.0, 32.5, 32.5)
     assert age["std"] == round(math.sqrt(125 / 3), 4)
-    assert result.columns["is_active"]["text_stats"]["top_values"] == {"true": 3, "false": 2}
+    assert result.columns["is_active"]["text_stats"]["top_values"] == {"True": 3, "False": 2}
     assert [r["column"] for r in result.missing_rankings] == ["name", "age"]
     assert '"total_rows": 5' in result.to_json()
 

@@ -72,6 +72,8 @@ def as_text(field: T.StructField) -> Column:
     column = cell(field)
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         column = column + F.lit(0.0)  # -0.0 and 0.0 are one value
+    if isinstance(field.dataType, T.BooleanType):
+        return F.when(column, "True").when(~column, "False")
     if kind(field.dataType) == "other" and not isinstance(field.dataType, T.BinaryType):
         return F.to_json(column) if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)) else column.cast("string")
     return column.cast("string")

@@ -14,8 +14,8 @@ MAX_JOBS = 6
 
 def run_together(spark: SparkSession, *actions: Callable[[], Any]) -> list[Any]:
     """Results of the actions, in order; the first failure is raised."""
-    if len(actions) == 1:
-        return [actions[0]()]
+    if len(actions) < 2:
+        return [action() for action in actions]
     inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=min(MAX_JOBS, len(actions))) as pool:
         futures = [pool.submit(inherit(action)) for action in actions]

@@ -9,6 +9,7 @@ list (columns x checks rows) reach the driver.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field as dataclass_field
@@ -303,7 +304,8 @@ def outlier_fences(df: DataFrame, method: str = "iqr", columns: Sequence[str] |
     if method != "iqr":
         place = {name: i for i, name in enumerate(names)}
         stats = {name: (row[f"a{place[name]}"], row[f"s{place[name]}"]) for name in enough}
-        return [Fence(name, mean=mean, std=std) for name, (mean, std) in stats.items() if std]
+        # Infinite values leave no usable deviation (and NaN compares as largest in Spark).
+        return [Fence(name, mean=mean, std=std) for name, (mean, std) in stats.items() if std and math.isfinite(std)]
     limits = {} if buffer_values is None else {"buffer_values": buffer_values}
     quartiles = exact_quantiles(df, enough, [0.25, 0.75], {name: row[f"n{names.index(name)}"] for name in enough}, **limits)
     fences = []

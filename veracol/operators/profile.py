@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import casts, dates, text
 from ..functions.columns import (
+    AGGREGATES_PER_PASS,
     ROW_ID,
     aggregate_long,
     as_text,
     cell,
+    chunks,
     count_where,
     data_fields,
     field_map,
@@ -37,6 +39,7 @@ from .quantiles import BUFFER_VALUES, exact_quantiles
 DATE_PROBE_LIMIT = 500
 DATE_PROBED = 50
 DATE_SHARE = 0.8
+FIXED_BYTES = {"boolean": 1, "numeric": 8, "datetime": 8}
 
 
 # -- dataset level -------------------------------------------------------------------------
@@ -63,12 +66,11 @@ def missing_cells(df: DataFrame) -> DataFrame:
 
 def footprint(df: DataFrame) -> DataFrame:
     """Approximate bytes: text lengths plus fixed widths. Not the in-memory size of any library."""
-    fixed = {"boolean": 1, "numeric": 8, "datetime": 8}
     items = []
     for field in data_fields(df):
         family = kind(field.dataType)
-        if family in fixed:
-            size = row_count() * F.lit(fixed[family])
+        if family in FIXED_BYTES:
+            size = row_count() * F.lit(FIXED_BYTES[family])
         else:
             size = F.coalesce(F.sum(F.octet_length(as_text(field))), F.lit(0))
         items.append(({"column_name": field.name}, {"bytes": size.cast("bigint")}))
@@ -296,77 +298,129 @@ def percent(part: int, whole: int) -> float:
     return round(part / whole * 100, 2) if whole else 0.0
 
 
+def _fused_pass(df: DataFrame) -> dict[str, dict[str, Any]]:
+    """Every figure that needs no shuffle, for all columns, from one scan (60 aggregates a pass)."""
+    measures: list[tuple[str, str, Column]] = []
+    for field in data_fields(df):
+        value, family = cell(field), kind(field.dataType)
+        wanted: dict[str, Column] = {"rows": row_count(), "nulls": count_where(value.isNull())}
+        if family == "numeric":
+            number = value.cast("double")
+            wanted |= {"min": F.min(number), "max": F.max(number), "mean": F.avg(number), "std": F.stddev_samp(number)}
+        elif family in ("text", "boolean"):
+            shown = as_text(field)
+            length = F.length(shown)
+            wanted |= {"min_length": F.min(length), "max_length": F.max(length), "avg_length": F.avg(length)}
+        elif family == "datetime":
+            wanted |= {"min_date": F.min(value).cast("string"), "max_date": F.max(value).cast("string")}
+        if family in ("text", "other"):
+            wanted["bytes"] = F.coalesce(F.sum(F.octet_length(as_text(field))), F.lit(0))
+        measures += [(field.name, key, measure) for key, measure in wanted.items()]
+    found: dict[str, dict[str, Any]] = {}
+    for part in chunks(measures, AGGREGATES_PER_PASS):
+        row = df.agg(*[measure.alias(f"m{i}") for i, (_, _, measure) in enumerate(part)]).first()
+        for i, (name, key, _) in enumerate(part):
+            found.setdefault(name, {})[key] = row[i]
+    return found
+
+
+def value_summary(df: DataFrame, names: Sequence[str], top_n: int = 5, order_by: str | None = None) -> DataFrame:
+    """Distinct count (rank 0) and most frequent values (rank 1 ...) of text and boolean columns.
+
+    One query, so that the scans and shuffles of the two halves overlap.
+    """
+    counts = vc.value_counts(df, names, order_by)
+    none = F.lit(None)
+    per_column = counts.groupBy("column_name").agg(row_count().alias("unique"), F.sum("n").alias("n"))
+    totals = per_column.select("column_name", none.cast("string").alias("value"), "n", F.lit(0).alias("rank"), "unique")
+    tops = vc.top_values(counts, top_n).select("column_name", "value", "n", "rank", none.cast("bigint").alias("unique"))
+    return totals.unionByName(tops)
+
+
 def profile(df: DataFrame, top_n: int = 5, order_by: str | None = None, duplicate_method: str = "exact", approximate: bool = False) -> TableProfile:
-    """Profile a table. What comes back to the driver is a few rows per column."""
+    """Profile a table. What comes back to the driver is a few rows per column.
+
+    ``approximate`` estimates the distinct counts of numeric and date columns from sketches, which
+    spares them a shuffle.
+    """
     fields = data_fields(df)
     names = [field.name for field in fields]
-    families = {field.name: kind(field.dataType) for field in fields}
     if not fields:
         return TableProfile(_summary(0, 0, 0, 0, 0, {}), {})
-    nulls = {row["column_name"]: row for row in column_nulls(df).collect()}
-    rows = nulls[names[0]]["total_count"]
-    filled = {name: rows - nulls[name]["null_count"] for name in names}
-    texts = [name for name in names if families[name] == "text"]
-    types = dict(families)
-    types.update(_probe_dates(df, [name for name in texts if 1 <= filled[name] <= DATE_PROBE_LIMIT], order_by))
-
+    seen = _fused_pass(df)
+    rows = seen[names[0]]["rows"]
+    nulls = {name: seen[name]["nulls"] for name in names}
+    filled = {name: rows - nulls[name] for name in names}
+    types = {field.name: kind(field.dataType) for field in fields}
+    probed = [name for name in names if types[name] == "text" and 1 <= filled[name] <= DATE_PROBE_LIMIT]
     numeric = [name for name in names if types[name] == "numeric" and filled[name]]
-    dated = [name for name in names if types[name] == "datetime" and filled[name]]
-    worded = [name for name in names if types[name] in ("text", "boolean") and filled[name]]
-    counted, numbers, calendar, lengths, ranked, copies, sizes = run_together(
+    worded = [name for name in names if types[name] in ("text", "boolean")]
+    others = [name for name in names if name not in worded]
+    dates_found, quartiles, summaries, counted, copies = run_together(
         df.sparkSession,
-        lambda: vc.distinct_counts(df, names, approximate).collect() if rows else [],
-        lambda: _by_column(numeric_stats(df, numeric, filled)) if numeric else {},
-        lambda: _by_column(datetime_stats(df, dated)) if dated else {},
-        lambda: _by_column(text_stats(df, worded)) if worded else {},
-        lambda: top_values(df, worded, top_n, order_by).orderBy("column_name", "rank").collect() if worded else [],
+        lambda: _probe_dates(df, probed, order_by),
+        lambda: exact_quantiles(df, numeric, [0.25, 0.5, 0.75], filled),
+        lambda: value_summary(df, worded, top_n, order_by).collect() if rows and worded else [],
+        lambda: vc.distinct_counts(df, others, approximate).collect() if rows and others else [],
         lambda: duplicates.duplicate_counts(df, method=duplicate_method).first()["duplicate_rows"] if rows else 0,
-        lambda: footprint(df).collect() if rows else [],
     )
-    uniques = {row["column_name"]: row["unique_count"] for row in counted}
-    tops: dict[str, dict[str, int]] = {name: {} for name in worded}
-    for row in ranked:
-        tops[row["column_name"]][row["value"]] = row["n"]
+    types.update(dates_found)
+    unique = {row["column_name"]: row["unique_count"] for row in counted}
+    frequent: dict[str, dict[str, int]] = {name: {} for name in worded}
+    for row in sorted(summaries, key=lambda row: row["rank"]):
+        if row["rank"] == 0:
+            unique[row["column_name"]] = row["unique"]
+        else:
+            frequent[row["column_name"]][row["value"]] = row["n"]
+    calendar = {}
+    if dates_found:
+        texts = datetime_stats(df, list(dates_found)).select("column_name", *[F.col(c).cast("string").alias(c) for c in ("min_date", "max_date")])
+        calendar = _by_column(texts)
 
     columns: dict[str, dict[str, Any]] = {}
     for field in fields:
         name = field.name
-        stats = numbers.get(name)
-        if stats:
-            stats = {key: stats[key] for key in ("min", "max", "mean", "median", "std", "q25", "q75")}
-        when = calendar.get(name)
-        if when:
-            when = {key: str(when[key]) for key in ("min_date", "max_date")} if when["min_date"] is not None else None
-        worded_stats = lengths.get(name)
-        if worded_stats:
-            worded_stats = {**{key: worded_stats[key] for key in ("min_length", "max_length", "avg_length")}, "top_values": tops[name]}
+        found, type_ = seen[name], types[name]
+        numbers = texts_ = when = None
+        if type_ == "numeric" and filled[name]:
+            q25, q50, q75 = quartiles[name]
+            numbers = {"min": found["min"], "max": found["max"], "mean": _round(found["mean"], 4), "median": _round(q50, 4)}
+            numbers |= {"std": _round(found["std"], 4) if filled[name] > 1 else 0.0, "q25": _round(q25, 4), "q75": _round(q75, 4)}
+        elif type_ == "datetime" and filled[name]:
+            span = calendar.get(name, found)
+            when = {key: span[key] for key in ("min_date", "max_date")} if span["min_date"] is not None else None
+        elif type_ in ("text", "boolean") and filled[name]:
+            texts_ = {"min_length": found["min_length"], "max_length": found["max_length"], "avg_length": _round(found["avg_length"], 2), "top_values": frequent[name]}
         columns[name] = {
             "name": name,
             "dtype": field.dataType.simpleString(),
-            "semantic_type": types[name],
+            "semantic_type": type_,
             "total_count": rows,
-            "null_count": nulls[name]["null_count"],
-            "null_percentage": percent(nulls[name]["null_count"], rows),
-            "unique_count": uniques.get(name, 0),
-            "unique_percentage": percent(uniques.get(name, 0), rows),
-            "numeric_stats": stats,
-            "text_stats": worded_stats,
+            "null_count": nulls[name],
+            "null_percentage": percent(nulls[name], rows),
+            "unique_count": unique.get(name, 0),
+            "unique_percentage": percent(unique.get(name, 0), rows),
+            "numeric_stats": numbers,
+            "text_stats": texts_,
             "datetime_stats": when,
         }
     ranking = sorted((c for c in columns.values() if c["null_count"]), key=lambda c: -c["null_count"])
-    missing = sum(c["null_count"] for c in columns.values())
-    size = sum(row["bytes"] for row in sizes)
+    size = sum(seen[f.name].get("bytes", FIXED_BYTES.get(kind(f.dataType), 0) * rows) for f in fields) if rows else 0
     breakdown: dict[str, int] = {}
     for name in names:
         breakdown[types[name]] = breakdown.get(types[name], 0) + 1
     keep = ("null_count", "null_percentage", "semantic_type")
     return TableProfile(
-        _summary(rows, len(names), missing, copies, size, breakdown),
+        _summary(rows, len(names), sum(nulls.values()), copies, size, breakdown),
         columns,
         [{"column": c["name"], **{key: c[key] for key in keep}} for c in ranking],
     )
 
 
+def _round(value: float | None, digits: int) -> float | None:
+    return value if value is None or value in (float("inf"), float("-inf")) else round(value, digits)
+
+
 def _by_column(stats: DataFrame) -> dict[str, dict[str, Any]]:
     return {row["column_name"]: row.asDict() for row in stats.collect()}
 

@@ -13,10 +13,12 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import cell, chunks, count_where, field_map
+from ..functions.together import run_together
 
 BUFFER_VALUES = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -61,8 +63,9 @@ def exact_quantiles(
         counts = {name: row[i] for i, name in enumerate(columns)}
     found: dict[str, list[float | None]] = {}
     small = [name for name in columns if counts[name] <= buffer_values]
-    for part in _passes(small, counts, 2 * buffer_values):
-        found.update(_by_sorting(df, {name: doubles[name] for name in part}, counts, probabilities))
+    passes = [{name: doubles[name] for name in part} for part in _passes(small, counts, 2 * buffer_values)]
+    for result in run_together(df.sparkSession, *[partial(_by_sorting, df, part, counts, probabilities) for part in passes]):
+        found.update(result)
     large = [name for name in columns if counts[name] > buffer_values]
     if large:
         found.update(_by_search(df, {name: doubles[name] for name in large}, counts, probabilities, buffer_values))
@@ -97,8 +100,9 @@ def _by_sorting(df, doubles, counts, probabilities) -> dict[str, list[float | No
 
 
 def _picks(ordered: Column, ranks: Sequence[int]) -> Column:
-    """Values at zero-based ranks; the sorted array is named once, so it is sorted once."""
-    return F.transform(F.array(*[F.lit(r + 1) for r in ranks]), lambda place: F.element_at(ordered, place))
+    """Values at zero-based ranks. Plain references keep the sort in the step below, done once;
+    a lambda over the ranks would have it repeated for each of them."""
+    return F.array(*[F.element_at(ordered, r + 1) for r in ranks])
 
 
 def _rank_pair(count: int, probability: float) -> tuple[int, int]:

@@ -10,18 +10,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.columns import ROW_ID, aggregate_long, as_text, cell, field_map
+from ..functions.columns import ROW_ID, aggregate_long, as_text, cell, field_map, ref
 from ..functions.frames import small_table
 from ..sources.row_order import with_row_order
 
 
 def unpivot_cells(df: DataFrame, cells: Sequence[tuple[str, Column]], carry: Sequence[str] = ()) -> DataFrame:
-    """Rows of (column_name, value, *carry) for the given text-typed cells; nulls are left out."""
-    wide = df.select(*carry, *[column.alias(f"c{i}") for i, (_, column) in enumerate(cells)])
-    long = wide.unpivot(list(carry), [f"c{i}" for i in range(len(cells))], "slot", "value")
-    names = F.array(*[F.lit(name) for name, _ in cells])
-    named = F.get(names, F.substring("slot", 2, 9).cast("int"))
-    return long.where(F.col("value").isNotNull()).select(named.alias("column_name"), "value", *carry)
+    """Rows of (column_name, value, *carry) for cells of one type; nulls are left out."""
+    wide = df.select(*carry, *[column.alias(name) for name, column in cells])
+    long = wide.unpivot(list(carry), [ref(name) for name, _ in cells], "column_name", "value")
+    return long.where(F.col("value").isNotNull()).select("column_name", "value", *carry)
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], order_by: str | None = None, transform=None) -> DataFrame:
@@ -40,18 +38,42 @@ def top_values(counts: DataFrame, limit: int, ties: str = "first_seen") -> DataF
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
-    """Distinct non-null values per column, columns without values included as 0."""
+    """Distinct non-null values per column, columns without values included as 0.
+
+    Columns are unpivoted by type family, so numbers and times are grouped as fixed-width keys.
+    """
     fields = field_map(df)
     if approximate:
         items = [({"column_name": name}, {"unique_count": F.approx_count_distinct(cell(fields[name]))}) for name in columns]
         return aggregate_long(df, items)
-    long = unpivot_cells(df, [(name, as_text(fields[name])) for name in columns])
+    families: dict[str, list[tuple[str, Column]]] = {}
+    for name in columns:
+        family, key = _distinct_key(fields[name])
+        families.setdefault(family, []).append((name, key))
+    counted = None
+    for cells in families.values():
+        values = unpivot_cells(df, cells).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        found = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("found"))
+        counted = found if counted is None else counted.unionByName(found)
     # Grouping a column with no values yields nothing, so every name is kept by an outer join with the list.
-    counted = long.groupBy("column_name", "value").agg(F.lit(1).alias("one")).groupBy("column_name").agg(F.count(F.lit(1)).alias("found"))
-    names = small_table(df.sparkSession, [(name,) for name in columns], T.StructType([T.StructField("column_name", T.StringType())]))
+    names = small_table(df.sparkSession, [(name,) for name in columns], "column_name string")
     return names.join(counted, "column_name", "left").select("column_name", F.coalesce("found", F.lit(0)).cast("bigint").alias("unique_count"))
 
 
+def _distinct_key(field: T.StructField) -> tuple[str, Column]:
+    """Type family and a value of that family, one per distinct value of the column."""
+    dtype, value = field.dataType, cell(field)
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return "long", value.cast("bigint")
+    if isinstance(dtype, T.DateType):
+        return "long", F.unix_date(value).cast("bigint")
+    if isinstance(dtype, T.TimestampType):
+        return "long", F.unix_micros(value)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double", value.cast("double") + F.lit(0.0)
+    return "text", as_text(field)
+
+
 def mode_of(df: DataFrame, column: str):
     """Most frequent non-null value, the smallest on ties; None when there is none."""
     field = field_map(df)[column]
