@@ -415,8 +415,12 @@ def analyze(
     sample_limit: int = 5,
     order_by: str | None = None,
     duplicate_method: str = "exact",
+    duplicate_rows: int | None = None,
 ) -> QualityReport:
-    """Run every check and compile the report, in the order missing, duplicate, format, range, category, outlier."""
+    """Run every check and compile the report, in the order missing, duplicate, format, range, category, outlier.
+
+    ``duplicate_rows`` hands in a whole-row duplicate count that is already known.
+    """
     rules = rules or CheckRules()
     fields = data_fields(df)
     if not fields:
@@ -425,13 +429,10 @@ def analyze(
     fences, copies, key_issues, variants = run_together(
         df.sparkSession,
         lambda: outlier_fences(df, outlier_method),
-        lambda: duplicates.duplicate_counts(df, method=duplicate_method).first(),
+        lambda: duplicates.duplicate_counts(df, method=duplicate_method).first()["duplicate_rows"] if duplicate_rows is None else duplicate_rows,
         lambda: _key_collisions(df, rules.id_columns, sample_limit, order_by),
         lambda: case_variant_report(df, texts, sample_limit, order_by) if texts else {},
     )
-    rows, copies = copies["total_rows"], copies["duplicate_rows"]
-    if rows == 0:
-        return QualityReport(0, len(fields), [])
     probes = [
         *missing_probes(df),
         *format_probes(df, rules.format_rules),
@@ -447,6 +448,9 @@ def analyze(
         lambda: sample_values(df, shown_probes, sample_limit, order_by).collect() if shown_probes and sample_limit else [],
         lambda: _long_lists(df, rules.category_rules, texts),
     )
+    rows = counts[0]["total_rows"]
+    if rows == 0:
+        return QualityReport(0, len(fields), [])
     affected = {(c["category"], c["column_name"], c["rule"]): c["affected_count"] for c in counts}
     samples = {(s["category"], s["column_name"], s["rule"]): s["sample_values"] for s in sampled}
 

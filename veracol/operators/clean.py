@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field as dataclass_field
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -386,10 +387,21 @@ STEP_SCHEMA = "step_number int, operation string, target_column string, paramete
 
 @dataclass
 class CleaningResult:
+    """The cleaned table, its log, and figures before and after.
+
+    The figures after cleaning are computed when first asked for. Whoever has stored the cleaned
+    rows sets ``stored``, so that they come from there and the steps are not run again.
+    """
+
     cleaned: DataFrame
     steps: list[CleaningStep]
     before_stats: dict[str, Any]
-    after_stats: dict[str, Any]
+    duplicate_method: str = "exact"
+    stored: DataFrame | None = None
+
+    @cached_property
+    def after_stats(self) -> dict[str, Any]:
+        return stats_of(self.cleaned if self.stored is None else self.stored, self.duplicate_method)
 
     @property
     def delta(self) -> dict[str, int]:
@@ -480,8 +492,7 @@ def clean(df: DataFrame, rules: CleaningRules | None = None, order_by: str | Non
     df = nan_to_null(df)
     log = _Log()
     before, work = run_together(df.sparkSession, lambda: stats_of(df, duplicate_method), lambda: _run_steps(df, rules, log, order_by))
-    cleaned = work.drop(ROW_ID)
-    return CleaningResult(cleaned, log.steps, before, stats_of(cleaned, duplicate_method))
+    return CleaningResult(work.drop(ROW_ID), log.steps, before, duplicate_method)
 
 
 def _run_steps(df: DataFrame, rules: CleaningRules, log: _Log, order_by: str | None) -> DataFrame:
@@ -607,6 +618,8 @@ def _clean_missing(df: DataFrame, rules: CleaningRules, log: _Log) -> DataFrame:
                 parameters = dict(batch[fill.column])
             log.add(names[fill.method], fill.column, parameters, fill.nulls, f"{names[fill.method].replace('_', ' ').capitalize()} for {fill.nulls:,} missing values of '{fill.column}'.")
         df = apply_fills(df, fills)
+        if any(fill.method in ("ffill", "bfill") for fill in fills):
+            df = cut_lineage(df)  # the sort by row order is not repeated by later passes
     return df
 
 

@@ -7,7 +7,7 @@ brings back only rows per column.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field as dataclass_field
 from typing import Any
 
@@ -337,11 +337,18 @@ def value_summary(df: DataFrame, names: Sequence[str], top_n: int = 5, order_by:
     return totals.unionByName(tops)
 
 
-def profile(df: DataFrame, top_n: int = 5, order_by: str | None = None, duplicate_method: str = "exact", approximate: bool = False) -> TableProfile:
+def profile(
+    df: DataFrame,
+    top_n: int = 5,
+    order_by: str | None = None,
+    duplicate_method: str = "exact",
+    approximate: bool = False,
+    duplicate_rows: int | None = None,
+) -> TableProfile:
     """Profile a table. What comes back to the driver is a few rows per column.
 
     ``approximate`` estimates the distinct counts of numeric and date columns from sketches, which
-    spares them a shuffle.
+    spares them a shuffle. ``duplicate_rows`` hands in a count that is already known.
     """
     fields = data_fields(df)
     names = [field.name for field in fields]
@@ -362,7 +369,7 @@ def profile(df: DataFrame, top_n: int = 5, order_by: str | None = None, duplicat
         lambda: exact_quantiles(df, numeric, [0.25, 0.5, 0.75], filled),
         lambda: value_summary(df, worded, top_n, order_by).collect() if rows and worded else [],
         lambda: vc.distinct_counts(df, others, approximate).collect() if rows and others else [],
-        lambda: duplicates.duplicate_counts(df, method=duplicate_method).first()["duplicate_rows"] if rows else 0,
+        lambda: _known_or(duplicate_rows, lambda: duplicates.duplicate_counts(df, method=duplicate_method).first()["duplicate_rows"] if rows else 0),
     )
     types.update(dates_found)
     unique = {row["column_name"]: row["unique_count"] for row in counted}
@@ -417,6 +424,10 @@ def profile(df: DataFrame, top_n: int = 5, order_by: str | None = None, duplicat
     )
 
 
+def _known_or(known: int | None, count: Callable[[], int]) -> int:
+    return count() if known is None else known
+
+
 def _round(value: float | None, digits: int) -> float | None:
     return value if value is None or value in (float("inf"), float("-inf")) else round(value, digits)
 

@@ -11,9 +11,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import data_fields
 from ..functions.together import run_together
 from ..operators.checks import CheckRules, QualityReport, analyze
 from ..operators.clean import CleaningResult, CleaningRules, clean
+from ..operators.duplicates import duplicate_counts
 from ..operators.profile import TableProfile, profile
 from ..operators.score import ScoreResult, score_report
 from ..sources.csv_source import read_csv
@@ -47,7 +49,11 @@ def ingest_table(catalog: Catalog, df: DataFrame, name: str, filename: str, user
     dataset_id = catalog.register(name, filename, user_id=user_id)
     version = catalog.create_version(dataset_id, df)
     stored = read_parquet_in_order(catalog.spark, version.storage_path)
-    described, report = run_together(catalog.spark, lambda: profile(stored), lambda: analyze(stored, rules))
+    # The widest shuffle, whole-row duplicates, is run once for both.
+    copies = duplicate_counts(stored).first()["duplicate_rows"] if data_fields(stored) else 0
+    described, report = run_together(
+        catalog.spark, lambda: profile(stored, duplicate_rows=copies), lambda: analyze(stored, rules, duplicate_rows=copies)
+    )
     result = score_report(report)
     catalog.save_report(version.id, result, report)
     return IngestResult(dataset_id, version, described, report, result)
@@ -72,7 +78,9 @@ def clean_latest(catalog: Catalog, dataset_id: str, rules: CleaningRules | None
     catalog.load_version(source["id"])  # fails early when the snapshot is gone
     cleaning = clean(read_parquet_in_order(catalog.spark, source["storage_path"]), rules)
     version = catalog.create_version(dataset_id, cleaning.cleaned, parent_version_id=source["id"])
-    report = analyze(read_parquet_in_order(catalog.spark, version.storage_path))
+    stored = read_parquet_in_order(catalog.spark, version.storage_path)
+    cleaning.stored = stored
+    report = analyze(stored, duplicate_rows=cleaning.after_stats["duplicate_rows"])
     result = score_report(report)
     catalog.save_report(version.id, result, report)
     delta = round(result.overall_score - float(source["overall_score"] or 0.0), 2)

@@ -11,12 +11,13 @@ _STAGES: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str = "veracol", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution, UTC timestamps and Arrow transfer switched on."""
+    """A session with adaptive execution, UTC timestamps, exact header names and Arrow transfer."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.caseSensitive": "true",  # headers that differ by case are different columns
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

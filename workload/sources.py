@@ -53,7 +53,7 @@ def ordered_scan(spark, sf_dir):
     return stored.withColumn("file", per_file).join(smaller, "file").select("o_orderkey", (inside + F.col("before")).alias("position"))
 
 
-_TYPED = "SELECT '{c}' AS column_name, CASE WHEN count({c}) = count(TRY_CAST({c} AS BIGINT)) THEN 'bigint' WHEN count({c}) = count(TRY_CAST({c} AS DOUBLE)) THEN 'double' WHEN count({c}) = count(*) FILTER (WHERE lower({c}) IN ('true', 'false')) THEN 'boolean' ELSE 'string' END AS type FROM t"
+_TYPED = "SELECT '{c}' AS column_name, CASE WHEN count({c}) = count(*) FILTER (WHERE regexp_full_match({c}, '[+-]?[0-9]+')) THEN 'bigint' WHEN count({c}) = count(TRY_CAST({c} AS DOUBLE)) THEN 'double' WHEN count({c}) = count(*) FILTER (WHERE lower({c}) IN ('true', 'false')) THEN 'boolean' ELSE 'string' END AS type FROM t"
 _TEXTED = "SELECT CAST(l_orderkey AS VARCHAR(20)) AS l_orderkey, CAST(l_discount AS VARCHAR(20)) AS l_discount, l_returnflag, CASE WHEN l_quantity > 25 THEN 'True' ELSE 'False' END AS large FROM {lineitem}"
 
 
