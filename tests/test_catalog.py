@@ -39,12 +39,27 @@ def test_formula_cells_are_quoted(make, tmp_path):
 def test_csv_types_and_missing_spellings(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('id,score,flag,yes,note\n1,1.5,true,1,"two\nlines, quoted ""x"""\n2,NA,False,y,n/a\n3,2,TRUE,0, padded \n', encoding="utf-8")
+    assert csv_source.has_quoted_line_breaks(spark, str(path))
     df = csv_source.read_csv(spark, str(path))
     assert dict(df.drop("__rid").dtypes) == {"id": "bigint", "score": "double", "flag": "boolean", "yes": "string", "note": "string"}
     assert values(df, "note") == ['two\nlines, quoted "x"', None, " padded "]
     assert values(df, "score") == [1.5, None, 2.0]
 
 
+def test_csv_without_line_breaks_is_split(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("id,note\n" + "".join(f'{i},"say ""{i}"", twice"\n' for i in range(20000)), encoding="utf-8")
+    assert not csv_source.has_quoted_line_breaks(spark, str(path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        df = csv_source.read_csv(spark, str(path))
+        assert df.rdd.getNumPartitions() > 3
+        assert values(df, "id") == list(range(20000))
+        assert df.where("id = 7").first()["note"] == 'say "7", twice'
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_nullable_integers_survive_a_snapshot(make, spark, tmp_path):
     path = str(tmp_path / "snap")
     sinks.write_snapshot(make("id bigint, val string", [(1, "x"), (2, "y"), (None, "z")]), path)

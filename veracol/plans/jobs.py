@@ -59,7 +59,7 @@ def ingest_table(catalog: Catalog, df: DataFrame, name: str, filename: str, user
     return IngestResult(dataset_id, version, described, report, result)
 
 
-def ingest_landing(catalog: Catalog, folder: str, user_id: str | None = None, multiline: bool = True) -> tuple[list[IngestResult], DataFrame]:
+def ingest_landing(catalog: Catalog, folder: str, user_id: str | None = None, multiline: bool | None = None) -> tuple[list[IngestResult], DataFrame]:
     """Screen a folder and ingest its accepted CSV files; returns the results and the screen.
 
     Each file is a dataset of its own schema, hence one chain of jobs per file.

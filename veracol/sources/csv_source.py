@@ -23,12 +23,20 @@ _READ_OPTIONS = {
 }
 
 
-def read_csv_text(spark, path: str, multiline: bool = True, na_tokens=NA_TOKENS) -> DataFrame:
+def has_quoted_line_breaks(spark, path: str) -> bool:
+    """True if some quoted cell spans lines: only then does a line hold an odd number of quotes."""
+    quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_csv_text(spark, path: str, multiline: bool | None = None, na_tokens=NA_TOKENS) -> DataFrame:
     """All cells as text, missing spellings as null, rows numbered in scan order.
 
-    ``multiline`` allows line breaks inside quotes but makes a file one task; large exports
-    without them should pass False so that files split.
+    A file with line breaks inside quotes has to be read by one task, others are split. Unless
+    ``multiline`` says which it is, a scan of the lines finds out.
     """
+    if multiline is None:
+        multiline = has_quoted_line_breaks(spark, path)
     raw = spark.read.options(**_READ_OPTIONS).option("multiLine", str(multiline).lower()).csv(path)
     cells = [F.when(~ref(name).isin(*na_tokens), ref(name)).alias(name) for name in raw.columns]
     return raw.select(*cells, F.monotonically_increasing_id().alias(ROW_ID))
@@ -79,7 +87,7 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*columns)
 
 
-def read_csv(spark, path: str, multiline: bool = True, keep_order: bool = True) -> DataFrame:
+def read_csv(spark, path: str, multiline: bool | None = None, keep_order: bool = True) -> DataFrame:
     """Typed CSV table; ``keep_order`` leaves the row id in for order-dependent operators."""
     raw = read_csv_text(spark, path, multiline)
     typed = apply_types(raw, infer_types(raw))
