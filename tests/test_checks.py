@@ -70,6 +70,16 @@ def test_casing_and_categories(make):
     assert found[0].sample_values == ["{Male, male, MALE}"]
 
 
+def test_fingerprints_give_the_same_report(make):
+    from veracol.operators import profile as P
+
+    rows = [("Male ", "long text " * 50, 1), ("male", "other " * 40, 2), ("MALE", "long text " * 50, 3), ("x", None, 4), ("x", None, 4)]
+    df = make("g string, t string, n bigint", rows)
+    exact, digests = Q.analyze(df), Q.analyze(df, grouping="fingerprint")
+    assert exact.to_dict() == digests.to_dict()
+    assert P.profile(df).to_dict() == P.profile(df, grouping="fingerprint").to_dict()
+
+
 def test_long_category_lists_are_joined(make):
     allowed = [f"v{i}" for i in range(Q.INLINE_SET + 5)]
     df = make("v string", [("v1",), ("v1004",), ("nope",), (None,)])

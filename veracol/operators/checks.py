@@ -178,7 +178,8 @@ def sample_values(df: DataFrame, probes: Sequence[Probe], limit: int = 5, order_
     """
     ordered = with_row_order(df, order_by)
     marks = [F.when(p.offends, p.shown) for p in probes]
-    found = vc.unpivot_cells(ordered, [(str(i), mark) for i, mark in enumerate(marks)], [ROW_ID])
+    offending = ordered.where(F.coalesce(*marks).isNotNull())  # before each row becomes one per probe
+    found = vc.unpivot_cells(offending, [(str(i), mark) for i, mark in enumerate(marks)], [ROW_ID])
     first = Window.partitionBy("column_name").orderBy(ROW_ID)
     kept = found.withColumn("at", F.row_number().over(first)).where(F.col("at") <= limit)
     listed = kept.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("pairs"))
@@ -224,28 +225,39 @@ def key_duplicate_samples(df: DataFrame, key: Sequence[str], limit: int = 5, ord
     return hits.orderBy(ROW_ID).limit(limit).select(*[F.col(alias).cast("string").alias(name) for alias, name in zip(names, key)], ROW_ID)
 
 
-def case_variants(df: DataFrame, columns: Sequence[str] | None = None, order_by: str | None = None) -> DataFrame:
-    """Groups of trimmed values that differ by case only: (column_name, folded, spellings, affected_count, first_seen)."""
+def case_variants(df: DataFrame, columns: Sequence[str] | None = None, order_by: str | None = None, grouping: str = "exact") -> DataFrame:
+    """Groups of trimmed values that differ by case only: (column_name, folded, spellings, affected_count, first_seen).
+
+    Grouped by fingerprint, a value is the MD5 of its folded text followed by its own.
+    """
     names = list(columns) if columns is not None else [f.name for f in fields_of(df, "text")]
-    counts = vc.value_counts(df, names, order_by, transform=text.strip)
-    folded = counts.groupBy("column_name", F.lower("value").alias("folded")).agg(
+    if grouping == "fingerprint":
+        counts = vc.value_counts(df, names, order_by, transform=lambda c: F.concat(F.md5(F.lower(text.strip(c))), F.md5(text.strip(c))))
+        folded = F.substring("value", 1, 32)
+    else:
+        counts = vc.value_counts(df, names, order_by, transform=text.strip)
+        folded = F.lower("value")
+    groups = counts.groupBy("column_name", folded.alias("folded")).agg(
         row_count().alias("spellings"), F.sum("n").alias("affected_count"), F.min("first_seen").alias("first_seen")
     )
-    return folded.where("spellings > 1")
+    return groups.where("spellings > 1")
 
 
-def case_variant_counts(df: DataFrame, columns: Sequence[str] | None = None, order_by: str | None = None) -> DataFrame:
-    return case_variants(df, columns, order_by).groupBy("column_name").agg(row_count().alias("groups"), F.sum("affected_count").cast("bigint").alias("affected_count"))
+def case_variant_counts(df: DataFrame, columns: Sequence[str] | None = None, order_by: str | None = None, grouping: str = "exact") -> DataFrame:
+    variants = case_variants(df, columns, order_by, grouping)
+    return variants.groupBy("column_name").agg(row_count().alias("groups"), F.sum("affected_count").cast("bigint").alias("affected_count"))
 
 
-def case_variant_report(df: DataFrame, columns: Sequence[str], limit: int = 5, order_by: str | None = None) -> dict[str, tuple[int, list[str]]]:
+def case_variant_report(
+    df: DataFrame, columns: Sequence[str], limit: int = 5, order_by: str | None = None, grouping: str = "exact"
+) -> dict[str, tuple[int, list[str]]]:
     """(affected rows, first groups as ``{A, a}``) per column that has variants.
 
     Spellings and groups come in first-seen order. The variant groups are stored once, so the value
     counts are shuffled once; the spellings of the at most ``limit`` shown groups per column come
     from a scan that keeps only their values.
     """
-    groups = cut_lineage(case_variants(df, columns, order_by))
+    groups = cut_lineage(case_variants(df, columns, order_by, grouping))
     totals = groups.groupBy("column_name").agg(F.sum("affected_count").cast("bigint").alias("affected_count")).collect()
     if not totals:
         return {}
@@ -254,7 +266,8 @@ def case_variant_report(df: DataFrame, columns: Sequence[str], limit: int = 5, o
     fields, varied = field_map(df), [row["column_name"] for row in totals]
     cells = vc.unpivot_cells(with_row_order(df, order_by), [(name, text.strip(cell(fields[name]))) for name in varied], [ROW_ID])
     listed = F.broadcast(small_table(df.sparkSession, [tuple(row) for row in chosen], "column_name string, folded string, place int"))
-    spelled = cells.withColumn("folded", F.lower("value")).join(listed, ["column_name", "folded"])
+    folded = F.md5(F.lower("value")) if grouping == "fingerprint" else F.lower("value")
+    spelled = cells.withColumn("folded", folded).join(listed, ["column_name", "folded"])
     spellings = spelled.groupBy("column_name", "place", "value").agg(F.min(ROW_ID).alias("seen")).collect()
     shown: dict[str, dict[int, list[str]]] = {name: {} for name in varied}
     for row in sorted(spellings, key=lambda row: (row["place"], row["seen"], row["value"])):
@@ -414,11 +427,12 @@ def analyze(
     outlier_method: str = "iqr",
     sample_limit: int = 5,
     order_by: str | None = None,
-    duplicate_method: str = "exact",
+    grouping: str = "exact",
     duplicate_rows: int | None = None,
 ) -> QualityReport:
     """Run every check and compile the report, in the order missing, duplicate, format, range, category, outlier.
 
+    ``grouping='fingerprint'`` groups rows and texts by 128-bit digests instead of shuffling them.
     ``duplicate_rows`` hands in a whole-row duplicate count that is already known.
     """
     rules = rules or CheckRules()
@@ -429,9 +443,9 @@ def analyze(
     fences, copies, key_issues, variants = run_together(
         df.sparkSession,
         lambda: outlier_fences(df, outlier_method),
-        lambda: duplicates.duplicate_counts(df, method=duplicate_method).first()["duplicate_rows"] if duplicate_rows is None else duplicate_rows,
+        lambda: duplicates.duplicate_counts(df, method=grouping).first()["duplicate_rows"] if duplicate_rows is None else duplicate_rows,
         lambda: _key_collisions(df, rules.id_columns, sample_limit, order_by),
-        lambda: case_variant_report(df, texts, sample_limit, order_by) if texts else {},
+        lambda: case_variant_report(df, texts, sample_limit, order_by, grouping) if texts else {},
     )
     probes = [
         *missing_probes(df),

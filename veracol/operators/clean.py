@@ -396,12 +396,12 @@ class CleaningResult:
     cleaned: DataFrame
     steps: list[CleaningStep]
     before_stats: dict[str, Any]
-    duplicate_method: str = "exact"
+    grouping: str = "exact"
     stored: DataFrame | None = None
 
     @cached_property
     def after_stats(self) -> dict[str, Any]:
-        return stats_of(self.cleaned if self.stored is None else self.stored, self.duplicate_method)
+        return stats_of(self.cleaned if self.stored is None else self.stored, self.grouping)
 
     @property
     def delta(self) -> dict[str, int]:
@@ -425,7 +425,7 @@ class CleaningResult:
         return json.dumps(self.to_dict(), indent=indent, default=str, ensure_ascii=False)
 
 
-def table_stats(df: DataFrame, duplicate_method: str = "exact") -> DataFrame:
+def table_stats(df: DataFrame, grouping: str = "exact") -> DataFrame:
     """One row: rows, columns, cells, missing cells and duplicate rows; null = null.
 
     The missing cells of a row are the same in all its copies, so grouping the distinct rows once
@@ -433,7 +433,7 @@ def table_stats(df: DataFrame, duplicate_method: str = "exact") -> DataFrame:
     """
     fields = data_fields(df)
     columns = len(fields)
-    if duplicate_method == "fingerprint":
+    if grouping == "fingerprint":
         return _fingerprint_stats(df, columns)
     sizes = duplicates.group_sizes(df)
     missing = F.lit(0)
@@ -467,10 +467,10 @@ def _fingerprint_stats(df: DataFrame, columns: int) -> DataFrame:
     )
 
 
-def stats_of(df: DataFrame, duplicate_method: str = "exact") -> dict[str, Any]:
+def stats_of(df: DataFrame, grouping: str = "exact") -> dict[str, Any]:
     if not data_fields(df):
         return {"total_rows": 0, "total_columns": 0, "total_cells": 0, "missing_cells": 0, "missing_percentage": 0.0, "duplicate_rows": 0}
-    stats = table_stats(df, duplicate_method).first().asDict()
+    stats = table_stats(df, grouping).first().asDict()
     stats["missing_percentage"] = percent(stats["missing_cells"], stats["total_cells"])
     return stats
 
@@ -483,7 +483,7 @@ class _Log:
         self.steps.append(CleaningStep(len(self.steps) + 1, operation, column, dict(parameters), affected, details))
 
 
-def clean(df: DataFrame, rules: CleaningRules | None = None, order_by: str | None = None, duplicate_method: str = "exact") -> CleaningResult:
+def clean(df: DataFrame, rules: CleaningRules | None = None, order_by: str | None = None, grouping: str = "exact") -> CleaningResult:
     """Clean a table in a fixed order and log every step that changed something.
 
     The figures before cleaning do not depend on the steps, so both run at the same time.
@@ -491,8 +491,8 @@ def clean(df: DataFrame, rules: CleaningRules | None = None, order_by: str | Non
     rules = rules or CleaningRules()
     df = nan_to_null(df)
     log = _Log()
-    before, work = run_together(df.sparkSession, lambda: stats_of(df, duplicate_method), lambda: _run_steps(df, rules, log, order_by))
-    return CleaningResult(work.drop(ROW_ID), log.steps, before, duplicate_method)
+    before, work = run_together(df.sparkSession, lambda: stats_of(df, grouping), lambda: _run_steps(df, rules, log, order_by))
+    return CleaningResult(work.drop(ROW_ID), log.steps, before, grouping)
 
 
 def _run_steps(df: DataFrame, rules: CleaningRules, log: _Log, order_by: str | None) -> DataFrame:

@@ -174,10 +174,15 @@ def _first_values(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str
     return {name: (row[f"s{i}"], bool(row[f"d{i}"])) for i, name in enumerate(columns)}
 
 
-def top_values(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 5, order_by: str | None = None, ties: str = "first_seen") -> DataFrame:
-    """Most frequent values per column; ties in first-seen order, or by ``ties='value'``."""
+def top_values(
+    df: DataFrame, columns: Sequence[str] | None = None, limit: int = 5, order_by: str | None = None, ties: str = "first_seen", grouping: str = "exact"
+) -> DataFrame:
+    """Most frequent values per column; ties in first-seen order, or by ``ties='value'``.
+
+    Grouped by fingerprint, ``value`` is the MD5 of the text.
+    """
     names = list(columns) if columns is not None else [f.name for f in fields_of(df, "text", "boolean")]
-    counts = vc.value_counts(df, names, order_by)
+    counts = vc.value_counts(df, names, order_by, grouping=grouping)
     return vc.top_values(counts, limit, ties).select("column_name", "value", "n", "rank")
 
 
@@ -324,12 +329,12 @@ def _fused_pass(df: DataFrame) -> dict[str, dict[str, Any]]:
     return found
 
 
-def value_summary(df: DataFrame, names: Sequence[str], top_n: int = 5, order_by: str | None = None) -> DataFrame:
+def value_summary(df: DataFrame, names: Sequence[str], top_n: int = 5, order_by: str | None = None, grouping: str = "exact") -> DataFrame:
     """Distinct count (rank 0) and most frequent values (rank 1 ...) of text and boolean columns.
 
     One query, so that the scans and shuffles of the two halves overlap.
     """
-    counts = vc.value_counts(df, names, order_by)
+    counts = vc.value_counts(df, names, order_by, grouping=grouping)
     none = F.lit(None)
     per_column = counts.groupBy("column_name").agg(row_count().alias("unique"), F.sum("n").alias("n"))
     totals = per_column.select("column_name", none.cast("string").alias("value"), "n", F.lit(0).alias("rank"), "unique")
@@ -341,14 +346,15 @@ def profile(
     df: DataFrame,
     top_n: int = 5,
     order_by: str | None = None,
-    duplicate_method: str = "exact",
+    grouping: str = "exact",
     approximate: bool = False,
     duplicate_rows: int | None = None,
 ) -> TableProfile:
     """Profile a table. What comes back to the driver is a few rows per column.
 
     ``approximate`` estimates the distinct counts of numeric and date columns from sketches, which
-    spares them a shuffle. ``duplicate_rows`` hands in a count that is already known.
+    spares them a shuffle. ``grouping='fingerprint'`` groups rows and texts by 128-bit digests instead
+    of shuffling them. ``duplicate_rows`` hands in a count that is already known.
     """
     fields = data_fields(df)
     names = [field.name for field in fields]
@@ -367,22 +373,23 @@ def profile(
         df.sparkSession,
         lambda: _probe_dates(df, probed, order_by),
         lambda: exact_quantiles(df, numeric, [0.25, 0.5, 0.75], filled),
-        lambda: value_summary(df, worded, top_n, order_by).collect() if rows and worded else [],
+        lambda: value_summary(df, worded, top_n, order_by, grouping).collect() if rows and worded else [],
         lambda: vc.distinct_counts(df, others, approximate).collect() if rows and others else [],
-        lambda: _known_or(duplicate_rows, lambda: duplicates.duplicate_counts(df, method=duplicate_method).first()["duplicate_rows"] if rows else 0),
+        lambda: _known_or(duplicate_rows, lambda: duplicates.duplicate_counts(df, method=grouping).first()["duplicate_rows"] if rows else 0),
     )
     types.update(dates_found)
     unique = {row["column_name"]: row["unique_count"] for row in counted}
     frequent: dict[str, dict[str, int]] = {name: {} for name in worded}
+    texts = vc.texts_behind(df, [(r["column_name"], r["value"]) for r in summaries if r["rank"]]) if grouping == "fingerprint" else {}
     for row in sorted(summaries, key=lambda row: row["rank"]):
         if row["rank"] == 0:
             unique[row["column_name"]] = row["unique"]
         else:
-            frequent[row["column_name"]][row["value"]] = row["n"]
+            frequent[row["column_name"]][texts.get((row["column_name"], row["value"]), row["value"])] = row["n"]
     calendar = {}
     if dates_found:
-        texts = datetime_stats(df, list(dates_found)).select("column_name", *[F.col(c).cast("string").alias(c) for c in ("min_date", "max_date")])
-        calendar = _by_column(texts)
+        spans = datetime_stats(df, list(dates_found)).select("column_name", *[F.col(c).cast("string").alias(c) for c in ("min_date", "max_date")])
+        calendar = _by_column(spans)
 
     columns: dict[str, dict[str, Any]] = {}
     for field in fields:

@@ -22,15 +22,30 @@ def unpivot_cells(df: DataFrame, cells: Sequence[tuple[str, Column]], carry: Seq
     return long.where(F.col("value").isNotNull()).select("column_name", "value", *carry)
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], order_by: str | None = None, transform=None) -> DataFrame:
-    """(column_name, value, n, first_seen) over the non-null values of the columns, as text."""
+def value_counts(df: DataFrame, columns: Sequence[str], order_by: str | None = None, transform=None, grouping: str = "exact") -> DataFrame:
+    """(column_name, value, n, first_seen) over the non-null values of the columns, as text.
+
+    With ``grouping='fingerprint'`` the value is its MD5, so that long texts are not shuffled;
+    ``texts_behind`` gives the texts of chosen ones.
+    """
     fields = field_map(df)
     ordered = with_row_order(df, order_by)
-    change = transform or (lambda column: column)
+    change = transform or (F.md5 if grouping == "fingerprint" else (lambda column: column))
     long = unpivot_cells(ordered, [(name, change(as_text(fields[name]))) for name in columns], [ROW_ID])
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first_seen"))
 
 
+def texts_behind(df: DataFrame, chosen: Sequence[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """Text of each chosen (column, MD5): a scan that keeps one text per digest and task."""
+    if not chosen:
+        return {}
+    fields = field_map(df)
+    listed = F.broadcast(small_table(df.sparkSession, chosen, "column_name string, digest string"))
+    cells = unpivot_cells(df, [(name, as_text(fields[name])) for name in dict.fromkeys(name for name, _ in chosen)])
+    hits = cells.withColumn("digest", F.md5("value")).join(listed, ["column_name", "digest"])
+    return {(row[0], row[1]): row[2] for row in hits.groupBy("column_name", "digest").agg(F.first("value")).collect()}
+
+
 def top_values(counts: DataFrame, limit: int, ties: str = "first_seen") -> DataFrame:
     """The most frequent values per column. Each task keeps ``limit`` rows per column before the shuffle."""
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc(ties), F.asc("value"))

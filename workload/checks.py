@@ -97,6 +97,11 @@ def case_variants(spark, sf_dir):
     return Q.case_variant_counts(dirty(spark, sf_dir))
 
 
+@query("q07_case_variants_fingerprint", f"{DIRTY} {CASE_SQL}")
+def case_variants_fingerprint(spark, sf_dir):
+    return Q.case_variant_counts(dirty(spark, sf_dir), grouping="fingerprint")
+
+
 @query(
     "q07_case_variant_groups",
     f"{DIRTY} SELECT 'segment' AS column_name, folded, spellings, affected_count FROM (SELECT lower(trim(segment)) AS folded, count(DISTINCT trim(segment)) AS spellings, count(*) AS affected_count FROM dirty GROUP BY 1) WHERE spellings > 1",

@@ -151,6 +151,18 @@ def top_values(spark, sf_dir):
     return P.top_values(dirty(spark, sf_dir), DIRTY_TEXTS, ties="value")
 
 
+@query(
+    "p11_top_values_fingerprint",
+    "SELECT column_name, md5(value) AS value, n FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5({c})) AS pos FROM documents GROUP BY {c}" for c in ("text", "source"))
+    + ") WHERE pos <= 5",
+)
+def top_values_fingerprint(spark, sf_dir):
+    """Long texts are grouped by digest, which is also what is shown."""
+    documents = table(spark, sf_dir, "documents").select("text", "source")
+    return P.top_values(documents, ["text", "source"], ties="value", grouping="fingerprint").select("column_name", "value", "n")
+
+
 @query("p12_missing_ranking", f"{DIRTY} SELECT column_position, column_name, null_count, total_count FROM ({NULLS_SQL}) WHERE null_count > 0")
 def missing_ranking(spark, sf_dir):
     return P.missing_ranking(dirty(spark, sf_dir)).drop("null_percentage")
