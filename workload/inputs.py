@@ -114,25 +114,27 @@ def derive(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFra
     return _sql(spark, text, **{name: table(spark, sf_dir, name) for name in tables})
 
 
-def _versions(orders: DataFrame) -> DataFrame:
+# Customers with more orders than one task should sort.
+LARGE_CUSTOMER = 1_000_000
+
+
+def _versions(orders: DataFrame, large: int = LARGE_CUSTOMER) -> DataFrame:
     """The orders of a customer as versions of a dataset, numbered by date.
 
-    One window per customer would sort a very large customer in one task. Orders are numbered
-    within each day, and the days of a customer, one row each, add what came before.
+    A window per customer is fine for most. Customers above the limit, found by a count first, are
+    numbered day by day.
     """
-    ordered = orders.withColumn("day", F.to_date("o_orderdate"))
-    last = F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey"))
-    days = ordered.groupBy("o_custkey", "day").agg(F.count(F.lit(1)).alias("n"), last.alias("last"))
-    by_day = Window.partitionBy("o_custkey").orderBy("day")
-    before = F.coalesce(F.sum("n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    earlier = days.select("o_custkey", "day", before.alias("before"), F.lag("last").over(by_day).alias("previous"))
-    in_day = Window.partitionBy("o_custkey", "day").orderBy("o_orderdate", "o_orderkey")
-    placed = ordered.withColumn("place", F.row_number().over(in_day)).withColumn("left", F.lag("o_orderkey").over(in_day))
-    return placed.join(earlier, ["o_custkey", "day"]).select(
+    sizes = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("o_custkey")
+    if sizes.isEmpty():
+        placed = _numbered(orders)
+    else:
+        hot = F.broadcast(sizes)  # at most rows / limit customers
+        placed = _numbered(orders.join(hot, "o_custkey", "left_anti")).unionByName(_numbered_by_day(orders.join(hot, "o_custkey", "left_semi")))
+    return placed.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("dataset_id"),
-        (F.col("before") + F.col("place")).cast("bigint").alias("version_number"),
-        F.coalesce("left", "previous").alias("parent_version_id"),
+        "version_number",
+        "parent_version_id",
         F.concat(F.lit("snapshots/"), F.col("o_orderkey").cast("string")).alias("storage_path"),
         F.lit("parquet").alias("file_format"),
         F.floor("o_totalprice").cast("bigint").alias("row_count"),
@@ -142,6 +144,31 @@ def _versions(orders: DataFrame) -> DataFrame:
     )
 
 
+_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+
+
+def _numbered(orders: DataFrame) -> DataFrame:
+    in_order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return orders.select(
+        *_ORDER_COLUMNS, F.row_number().over(in_order).cast("bigint").alias("version_number"), F.lag("o_orderkey").over(in_order).alias("parent_version_id")
+    )
+
+
+def _numbered_by_day(orders: DataFrame) -> DataFrame:
+    """Numbers within a day, plus what the customer's earlier days, one row each, add up to."""
+    ordered = orders.select(*_ORDER_COLUMNS, F.to_date("o_orderdate").alias("day"))
+    last = F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey"))
+    days = ordered.groupBy("o_custkey", "day").agg(F.count(F.lit(1)).alias("n"), last.alias("last"))
+    by_day = Window.partitionBy("o_custkey").orderBy("day")
+    before = F.coalesce(F.sum("n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = days.select("o_custkey", "day", before.alias("before"), F.lag("last").over(by_day).alias("previous"))
+    in_day = Window.partitionBy("o_custkey", "day").orderBy("o_orderdate", "o_orderkey")
+    placed = ordered.withColumn("place", F.row_number().over(in_day)).withColumn("left", F.lag("o_orderkey").over(in_day))
+    return placed.join(earlier, ["o_custkey", "day"]).select(
+        *_ORDER_COLUMNS, (F.col("before") + F.col("place")).cast("bigint").alias("version_number"), F.coalesce("left", "previous").alias("parent_version_id")
+    )
+
+
 class GovTables(Mapping):
     """Catalogue tables in the catalogue's own schema, each planned when it is first used."""
 
