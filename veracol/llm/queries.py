@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import secret_scan, simhash_dedup, toxicity
+from . import piece_codec, secret_scan, simhash_dedup, token_files, topk_search, toxicity
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings),
+q AS (SELECT vec_id AS query_id, unnest(x) AS a, generate_subscripts(x, 1) AS i FROM v WHERE vec_id % 50 = 0),
+c AS (SELECT vec_id, unnest(x) AS b, generate_subscripts(x, 1) AS i FROM v),
+s AS (SELECT query_id, vec_id, CAST(sum(a * b) AS BIGINT) AS score FROM q JOIN c USING (i) WHERE query_id <> vec_id GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+""",
+}
 
 
 def _query(function):
@@ -35,3 +45,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets, found by all rules in one byte pass."""
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows for every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@_query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum in token files, written and read back."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@_query
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids by the streaming search, and whether they decode to its text."""
+    return piece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
