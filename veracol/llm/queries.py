@@ -7,11 +7,55 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import piece_codec, secret_scan, simhash_dedup, token_files, topk_search, toxicity
-from .shared import table
+from . import decontamination, piece_codec, quote_links, secret_scan, simhash_dedup, token_files, topk_search, toxicity, warc_fixity
+from .shared import cut, table
+
+# Messages as mail would show them: they quote the one or two before, and now and then start anew.
+QUOTING = """
+WITH b AS (SELECT conv_id, turn, role, text, lag(text, 1) OVER w AS p1, lag(text, 2) OVER w AS p2 FROM {conversations} WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, role, CASE
+  WHEN p1 IS NULL OR turn % 6 = 5 THEN text
+  WHEN turn % 4 = 3 AND p2 IS NOT NULL THEN '> ' || replace(p2, chr(10), chr(10) || '> ') || chr(10) || text
+  WHEN turn % 2 = 0 AND p2 IS NOT NULL THEN '> > ' || replace(p2, chr(10), chr(10) || '> > ') || chr(10) || '> ' || replace(p1, chr(10), chr(10) || '> ') || chr(10) || text
+  ELSE '> ' || replace(p1, chr(10), chr(10) || '> ') || chr(10) || text END AS text
+FROM b
+"""
+
+# A replica with damage: some pages have another first letter, some are cut short, some are lost.
+DAMAGED = "CASE WHEN page_id % 97 = 13 THEN '~' || substr(html, 2) WHEN page_id % 307 = 7 THEN substr(html, 1, CAST(floor(length(html) / 2) AS INT)) ELSE html END"
+LOST = "page_id % 211 = 5"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
+    "op9_quote_links": f"""
+WITH RECURSIVE m AS ({QUOTING.format(conversations="conversations")}),
+l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM m),
+h AS (SELECT conv_id, turn, length(regexp_replace(regexp_extract(line, '^[ \t]?(?:>[ \t]?)+', 0), '[^>]', '', 'g')) AS level,
+  trim(regexp_replace(lower(regexp_replace(line, '^[ \t]?(?:>[ \t]?)+', '')), '\\s+', ' ', 'g')) AS plain FROM l),
+own AS (SELECT DISTINCT conv_id, turn, plain FROM h WHERE level = 0 AND plain <> ''),
+q AS (SELECT conv_id, turn, level, plain, count(*) AS n FROM h WHERE level > 0 AND plain <> '' GROUP BY ALL),
+o AS (SELECT q.conv_id, q.turn, q.level, q.plain, q.n, max(own.turn) AS origin FROM q LEFT JOIN own ON own.conv_id = q.conv_id AND own.plain = q.plain AND own.turn < q.turn GROUP BY ALL),
+f AS (SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS n_quoted, CAST(coalesce(sum(n) FILTER (origin IS NOT NULL), 0) AS BIGINT) AS n_linked, max(level) AS levels FROM o GROUP BY ALL),
+v AS (SELECT conv_id, turn, origin, sum(n) AS n FROM o WHERE level = 1 AND origin IS NOT NULL GROUP BY ALL),
+p AS (SELECT conv_id, turn, origin AS parent FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, origin DESC) = 1),
+t AS (SELECT conv_id, turn, parent AS up, 1 AS depth FROM p UNION ALL SELECT t.conv_id, t.turn, p.parent, t.depth + 1 FROM t JOIN p ON p.conv_id = t.conv_id AND p.turn = t.up),
+r AS (SELECT conv_id, turn, arg_max(up, depth) AS thread, max(depth) AS depth FROM t GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.role, coalesce(r.thread, m.turn) AS thread,
+  row_number() OVER (PARTITION BY m.conv_id, coalesce(r.thread, m.turn) ORDER BY m.turn) AS position,
+  CAST(coalesce(r.depth, 0) AS BIGINT) AS depth, p.parent AS parent_turn, coalesce(f.n_quoted, 0) AS n_quoted, coalesce(f.n_linked, 0) AS n_linked, CAST(coalesce(f.levels, 0) AS BIGINT) AS levels,
+  array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]?(?:>[ \t]?)+')), chr(10)) AS text
+FROM m LEFT JOIN f USING (conv_id, turn) LEFT JOIN p USING (conv_id, turn) LEFT JOIN r USING (conv_id, turn)
+""",
+    "op6_warc_fixity": f"""
+WITH d AS (SELECT page_id, url, html, {DAMAGED} AS copy FROM pages),
+s AS (SELECT page_id, page_id // 1024 AS archive, {LOST} AS lost,
+  'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' AS head,
+  html, copy, chr(13) || chr(10) || chr(13) || chr(10) AS gap FROM d),
+w AS (SELECT *, head || strlen(html) || gap || html || gap AS record, head || strlen(copy) || gap || copy || gap AS other FROM s),
+x AS (SELECT *, row_number() OVER o - 1 AS place, CAST(sum(strlen(record)) OVER o AS BIGINT) AS stop FROM w WINDOW o AS (PARTITION BY archive ORDER BY page_id))
+SELECT page_id, archive, place, stop - strlen(record) AS start, stop, CASE WHEN lost THEN 'missing' ELSE 'corrupt' END AS status, sha256(record) AS expected, CASE WHEN NOT lost THEN sha256(other) END AS found
+FROM x WHERE lost OR record <> other
+""",
     "op3_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings),
 q AS (SELECT vec_id AS query_id, unnest(x) AS a, generate_subscripts(x, 1) AS i FROM v WHERE vec_id % 50 = 0),
@@ -64,3 +108,27 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's piece ids by the streaming search, and whether they decode to its text."""
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+
+
+@_query
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that leaks into a document, with its edits."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that a damaged replica of all pages' archives has lost or changed."""
+    pages = table(spark, sf_dir, "pages")
+    expected = cut(warc_fixity.lay_out(pages))
+    copies = pages.where(f"NOT ({LOST})").select("page_id", "url", F.expr(DAMAGED).alias("html"))
+    copies = copies.select("page_id", F.sha2(warc_fixity.record_bytes(), 256).alias("digest"))
+    found = expected.drop("digest").join(copies, "page_id")
+    return warc_fixity.audit(expected, found).join(expected.select("archive", "place", "page_id"), ["archive", "place"])
+
+
+@_query
+def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of the quoting conversations, in its thread and without quotes."""
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("_quoted_conversations")
+    return quote_links.link_quotes(spark.sql(QUOTING.format(conversations="_quoted_conversations")))
