@@ -29,7 +29,9 @@ def test_like_plain_stages(spark):
     for i, row in got.items():
         text, done = "", 0
         for a, b, kind in brute_secrets(rows[i].text):
-            text, done = text + rows[i].text[done:a] + f"[{KINDS[kind]}]", b
+            if a >= done:  # overlapping secrets go as one
+                text += rows[i].text[done:a] + f"[{KINDS[kind]}]"
+            done = max(done, b)
         text += rows[i].text[done:]
         assert row.text == text and row.n_chars == len(text) and row.source == rows[i].source
         assert np.array_equal(row.ids, codec.encode(text)) and row.same_text

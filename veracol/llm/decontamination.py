@@ -26,13 +26,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .shared import text_bytes
+from .shared import gram_hashes, text_bytes
 
 Q = 10
 ERROR_RATE = 0.05
 BLOCK_CHARS = 4_000_000
 _TABLE_BITS = 24
-_BASE = 0x9E3779B97F4A7C15 | 1
 _SLICE = 1 << 20  # characters of a long document looked up at a time
 
 
@@ -44,29 +43,6 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
-    """Polynomial hashes of all q-grams, scrambled, put together from those of powers of two."""
-    n = len(points) - q + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    power, width, base = points.astype(np.uint64) + np.uint64(1), 1, np.uint64(_BASE)
-    total, covered, scale = None, 0, None
-    with np.errstate(over="ignore"):
-        while True:
-            if q & width:
-                piece = power[covered : covered + n]
-                total = piece.copy() if total is None else total * base + piece
-                covered += width
-            if covered == q:
-                break
-            power = power[: len(power) - width] * base + power[width:]
-            width, base = 2 * width, base * base
-        total ^= total >> np.uint64(29)
-        total *= np.uint64(0xBF58476D1CE4E5B9)
-        total ^= total >> np.uint64(32)
-    return total
-
-
 @dataclass
 class Items:
     """The grams of a block of items: sorted hashes with their postings (item, place)."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,32 @@ def sorted_groups(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.repartition(F.col(key)).sortWithinPartitions(key, *order)
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
+    """Polynomial hashes of all q-grams, scrambled, put together from those of powers of two."""
+    n = len(points) - q + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    power, width, base = points.astype(np.uint64) + np.uint64(1), 1, np.uint64(_BASE)
+    total, covered, scale = None, 0, None
+    with np.errstate(over="ignore"):
+        while True:
+            if q & width:
+                piece = power[covered : covered + n]
+                total = piece.copy() if total is None else total * base + piece
+                covered += width
+            if covered == q:
+                break
+            power = power[: len(power) - width] * base + power[width:]
+            width, base = 2 * width, base * base
+        total ^= total >> np.uint64(29)
+        total *= np.uint64(0xBF58476D1CE4E5B9)
+        total ^= total >> np.uint64(32)
+    return total
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared scratch folder and read back."""
     return cut_lineage(df)
@@ -77,19 +103,5 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def by_document(function: Callable[[bytes], tuple], columns: list[pa.Field], carried: pa.Field) -> Callable:
-    """A mapInArrow function that computes columns from each row's ``data`` and carries its id along."""
-    schema = pa.schema([carried, *columns])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            results = [function(value.as_buffer().to_pybytes() if value.is_valid else b"") for value in batch.column("data")]
-            arrays = [batch.column(carried.name).cast(carried.type)]
-            arrays += [pa.array([row[i] for row in results], type=field.type) for i, field in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    return run
-
-
 def signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64, copy=False).view(np.int64)
