@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -40,13 +41,14 @@ SEQUENCE = 2048
 FILE_TOKENS = 1 << 23
 SEQUENCES_A_BATCH = 256
 _CACHED = 400_000
+_LAST_MARK = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=\s|$)")
 
 
 class WordCache:
     """Ids of texts from those of their parts between ASCII blanks.
 
     Only for tokenizers that drop white space and split at it, whatever stands around: their ids of a
-    text are those of its parts in a row. Parts not seen lately are encoded together, and the cache is
+    text are those of its parts in a row, whatever their ASCII case. Parts not seen lately are encoded together, and the cache is
     emptied between batches when it is full, so it holds _CACHED parts and those of one batch at most.
     """
 
@@ -56,20 +58,20 @@ class WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.code, self.known = Tokenizer.from_file(path), code, {}
 
-    def encode(self, texts: list[bytes]) -> Iterator[array]:
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Each text's ids, as the bytes of an array."""
         if len(self.known) > _CACHED:
             self.known.clear()
         known = self.known
-        new = list({word for data in texts for word in data.split() if word not in known})
+        # the tokenizer drops case and parts letters from marks itself; only its special tokens, which hold "<|", are found before
+        texts = [data if b"<|" in data else _LAST_MARK.sub(rb" \1", data.lower()) for data in texts]
+        new = list(set().union(*(data.split() for data in texts)) - known.keys())
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update((word, array(self.code, e.ids)) for word, e in zip(part, found, strict=True))
+            known.update((word, array(self.code, e.ids).tobytes()) for word, e in zip(part, found, strict=True))
         for data in texts:
-            ids = array(self.code)
-            for word in data.split():
-                ids += known[word]
-            yield ids
+            yield b"".join(map(known.__getitem__, data.split()))
 
 
 @lru_cache(maxsize=2)
@@ -163,9 +165,9 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, end_id: int, i
         for batch in batches:
             keys, start = batch.column("row_id"), 0
             for at, tokens in enumerate(encode(batch.column("data").to_pylist())):
-                tokens.append(end_id)
-                held += tokens
-                sizes.append(len(tokens))
+                held.frombytes(tokens)
+                held.append(end_id)
+                sizes.append(len(tokens) // held.itemsize + 1)
                 if len(held) >= file_tokens:
                     ids.append(keys.slice(start, at + 1 - start))
                     start = at + 1
