@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field as dataclass_field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import casts, dates, text
 from ..functions.columns import ROW_ID, aggregate_long, as_text, cell, count_where, data_fields, field_map, fields_of, groupable, kind, row_count
@@ -99,7 +99,14 @@ def format_pattern(rule: str) -> str | None:
     except re.error:
         return None
     named_groups = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", rule).replace("(?P<", "(?<")
-    return f"(?U)^(?:{named_groups})"
+    pattern = f"(?U)^(?:{named_groups})"
+    session = SparkSession.getActiveSession()
+    try:
+        if session is not None:
+            session.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # noqa: BLE001 - valid in Python only: the rule is skipped like an invalid one
+        return None
+    return pattern
 
 
 def format_probes(df: DataFrame, rules: Mapping[str, str]) -> list[Probe]:

@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import casts, dates, text
-from ..functions.columns import ROW_ID, aggregate_long, cell, count_where, data_fields, field_map, fields_of, kind, nan_to_null, ref, row_count
+from ..functions.columns import ROW_ID, aggregate_long, as_text, cell, count_where, data_fields, field_map, fields_of, kind, nan_to_null, ref, row_count
 from ..functions.frames import small_table
 from ..functions.together import run_together
 from ..session import cut_lineage
@@ -321,7 +321,7 @@ def cast_column(field: T.StructField, target: str) -> Column:
     if target == "float":
         return casts.to_double(column, field.dataType)
     if target == "str":
-        return column.cast("string")
+        return as_text(field) if isinstance(field.dataType, T.BooleanType) else column.cast("string")
     return dates.parse_mixed(column, field.dataType)
 
 

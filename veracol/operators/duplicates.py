@@ -67,10 +67,14 @@ def drop_duplicate_rows(
     """Keep the first, the last or (``keep=False``) no copy of each row or key, in row order.
 
     One grouping picks the surviving row as ``min_by``/``max_by`` of the whole row, so a hot key
-    is reduced inside each task and nothing is joined back. An empty subset changes nothing.
+    is reduced inside each task and nothing is joined back. An empty subset changes nothing, an
+    unknown column is an error. Rows without an order key come last.
     """
     if subset is not None and not subset:
         return df
+    unknown = sorted(set(subset or ()) - {field.name for field in data_fields(df)})
+    if unknown:
+        raise ValueError(f"unknown deduplication columns: {unknown}")
     carries_order = ROW_ID in df.columns
     if subset is None and keep in ("first", "last") and not carries_order and not _has_maps(df):
         return df.dropDuplicates()
@@ -87,7 +91,8 @@ def drop_duplicate_rows(
     if whole_row:
         choose = (F.max(rid) if keep == "last" else F.min(rid)).alias("rid")
     else:
-        choose = (F.max_by("whole", rid) if keep == "last" else F.min_by("whole", rid)).alias("whole")
+        place = F.struct(rid.isNull(), rid)
+        choose = (F.max_by("whole", place) if keep == "last" else F.min_by("whole", place)).alias("whole")
     survivors = picked.groupBy(*[f"k{i}" for i in range(len(key_fields))]).agg(choose, row_count().alias("copies"))
     if keep is False:
         survivors = survivors.where("copies = 1")

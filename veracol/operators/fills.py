@@ -18,6 +18,7 @@ from ..sources.row_order import with_row_order
 ROWS_PER_BLOCK = 2_000_000
 MAX_BLOCKS = 100_000
 _BLOCK = "__block"
+_LAST_BLOCK = 1 << 62
 
 
 def order_blocks(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -26,7 +27,7 @@ def order_blocks(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFra
     The sizes inspected on the driver are one row per block, at most ``MAX_BLOCKS``.
     """
     rows, low, high = df.agg(row_count(), F.min(ROW_ID), F.max(ROW_ID)).first()
-    if not rows:
+    if not rows or low is None:
         return df.withColumn(_BLOCK, F.lit(0).cast("bigint"))
     spark = df.sparkSession
     wanted = min(MAX_BLOCKS // 4, max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_block)))
@@ -39,25 +40,31 @@ def order_blocks(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFra
             return cut
         plan, base = [], 0
         for s in sizes:
+            if s[_BLOCK] is None:  # rows without an order key
+                continue
             parts = -(-s["n"] // rows_per_block) * (4 if s["n"] > 4 * rows_per_block else 1)
             step = (s["high"] - s["low"]) // parts + 1
             plan.append((s[_BLOCK], s["low"], step, base))
             base += (s["high"] - s["low"]) // step + 1
         lookup = F.broadcast(small_table(spark, plan, f"{_BLOCK} bigint, __low bigint, __step bigint, __base bigint"))
         names = [ref(name) for name in cut.columns if name != _BLOCK]
-        cut = cut.join(lookup, _BLOCK).select(*names, F.expr(f"__base + (`{ROW_ID}` - __low) div __step").alias(_BLOCK))
+        cut = cut.join(lookup, _BLOCK, "left").select(*names, F.expr(f"__base + (`{ROW_ID}` - __low) div __step").alias(_BLOCK))
 
 
 def fill_in_order(
     df: DataFrame, directions: Mapping[str, str], order_by: str | None = None, rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
-    """Fill each named column ``ffill`` (previous value) or ``bfill`` (next value) in row order."""
+    """Fill each named column ``ffill`` (previous value) or ``bfill`` (next value) in row order.
+
+    Rows without an order key come after all others, in a block of their own.
+    """
     fields = field_map(df)
     directions = {name: way for name, way in directions.items() if name in fields}
     if not directions:
         return df
     had_order = ROW_ID in df.columns
     cut = order_blocks(with_row_order(df, order_by), rows_per_block)
+    cut = cut.withColumn(_BLOCK, F.coalesce(_BLOCK, F.lit(_LAST_BLOCK)))
 
     def filled_key(name: str) -> Column:
         return F.when(cell(fields[name]).isNotNull(), F.col(ROW_ID))

@@ -64,7 +64,7 @@ def ingest_landing(catalog: Catalog, folder: str, user_id: str | None = None, mu
 
     Each file is a dataset of its own schema, hence one chain of jobs per file.
     """
-    screened = screen_files(read_landing(catalog.spark, folder))
+    screened = screen_files(read_landing(catalog.spark, folder, None), None)
     results = []
     for row in screened.where(F.col("accepted") & F.lower("file_name").endswith(".csv")).orderBy("path").toLocalIterator():
         table = read_csv(catalog.spark, row["path"], multiline)

@@ -18,9 +18,10 @@ WINDOWS_MAGIC = "4D5A"
 ELF_MAGIC = "7F454C46"
 MACHO_MAGICS = ("FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE")
 HEAD_BYTES = 8
+NO_LIMIT = (1 << 31) - 1  # what the reader of whole files takes
 
 
-def read_landing(spark, path: str) -> DataFrame:
+def read_landing(spark, path: str, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """(path, length, head) of the files below a folder.
 
     Contents are opened only for files small enough to be accepted; the length filter is applied
@@ -29,21 +30,23 @@ def read_landing(spark, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     head = F.substring("content", 1, HEAD_BYTES)
-    small = files.where(F.col("length") <= MAX_BYTES).select("path", "length", head.alias("head"))
-    large = files.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("head"))
+    if max_bytes is None:
+        max_bytes = NO_LIMIT
+    small = files.where(F.col("length") <= max_bytes).select("path", "length", head.alias("head"))
+    large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("head"))
     listed = [(unquote(name).replace("file:///", "file:/", 1),) for name in files.inputFiles()]
     unread = small_table(spark, listed, "path string").join(files.select("path"), "path", "left_anti")
     empty = unread.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("head"))
     return small.unionByName(large).unionByName(empty)
 
 
-def screen_files(files: DataFrame) -> DataFrame:
-    """Verdict per file: (path, file_name, dataset_name, accepted, reason)."""
+def screen_files(files: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """Verdict per file: (path, file_name, dataset_name, accepted, reason); without ``max_bytes`` any size will do."""
     named = files.withColumn("file_name", base_name(F.col("path")))
     ext = extension(F.col("file_name"))
     head = F.hex("head")
     reason = (
-        F.when(F.col("length") > MAX_BYTES, "too large")
+        F.when(F.col("length") > (NO_LIMIT if max_bytes is None else max_bytes), "too large")
         .when(~ext.isin(*ACCEPTED), "unsupported type")
         .when(F.col("length") == 0, "empty")
         .when((ext == ".xlsx") & ~head.startswith(XLSX_MAGIC), "not an xlsx container")

@@ -178,7 +178,7 @@ def cast_float(spark, sf_dir):
     return C.cast_columns(derive(spark, sf_dir, _MIXED, "customer"), {"mixed": "float", "owes": "float64"})
 
 
-@query("c21_cast_string", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_custkey, CAST(o_custkey > 5 AS VARCHAR) AS flag FROM orders")
+@query("c21_cast_string", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_custkey, CASE WHEN o_custkey > 5 THEN 'True' ELSE 'False' END AS flag FROM orders")
 def cast_string(spark, sf_dir):
     return C.cast_columns(derive(spark, sf_dir, "SELECT o_orderkey, o_custkey, o_custkey > 5 AS flag FROM {orders}", "orders"), {"o_orderkey": "str", "flag": "string"})
 
