@@ -32,7 +32,7 @@ from .shared import text_bytes
 
 MARK = "▁"
 CHECK_EVERY = 32
-_CACHED = 300_000
+_CACHED = 700_000
 _ARROW_IDS = 4 << 20
 
 
@@ -58,7 +58,8 @@ class Vocabulary:
                 self.texts.append(piece)
         self.longest = max(map(len, self.pieces))
         self.unknown = min(score for score, _ in self.pieces.values()) - 10
-        self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        # every beginning of a piece: its (score, id), or nothing if it is no piece itself
+        self.table = {p[:n]: () for p in self.pieces for n in range(1, len(p))} | self.pieces
         self.splits_at_marks = not any(MARK in p.lstrip(MARK) for p in self.pieces)
         used = set("".join(self.pieces))
         self.lone_controls = [c for c in map(chr, range(32)) if c not in used]
@@ -79,24 +80,25 @@ class StreamingViterbi:
     def _extend(self, final: bool) -> None:
         """Extend from every start whose pieces are in view; at the end of the text, from all."""
         v, text, best, back = self.vocabulary, self.text, self.best, self.back
+        find, longest, unknown = v.table.get, v.longest, v.unknown
         n = len(text)
-        while len(best) <= n:
-            best.append(-np.inf)
-            back.append((0, -1))
-        stop = n if final else n - v.longest + 1
-        for start in range(self.done, max(self.done, stop)):
-            score, single = best[start], False
-            for end in range(start + 1, min(n, start + v.longest) + 1):
-                part = text[start:end]
-                if part not in v.prefixes:
+        best += [-np.inf] * (n + 1 - len(best))
+        back += [(0, -1)] * (n + 1 - len(back))
+        stop = n if final else n - longest + 1
+        for start in range(self.done, stop):
+            base, single = best[start], False
+            for end in range(start + 1, min(n, start + longest) + 1):
+                piece = find(text[start:end])
+                if piece is None:
                     break
-                if part in v.pieces:
-                    gain, number = v.pieces[part]
-                    single |= end == start + 1
-                    if score + gain > best[end]:
-                        best[end], back[end] = score + gain, (start, number)
-            if not single and score + v.unknown > best[start + 1]:
-                best[start + 1], back[start + 1] = score + v.unknown, (start, -1)
+                if piece:
+                    if end == start + 1:
+                        single = True
+                    total = base + piece[0]
+                    if total > best[end]:
+                        best[end], back[end] = total, (start, piece[1])
+            if not single and base + unknown > best[start + 1]:
+                best[start + 1], back[start + 1] = base + unknown, (start, -1)
         self.done = max(self.done, stop)
 
     def _converged(self) -> int:
@@ -116,11 +118,14 @@ class StreamingViterbi:
             ids += [number] if number >= 0 else [self.vocabulary.bytes[b] for b in reversed(self.text[start:at].encode("utf-8", "surrogatepass"))]
             at = start
         self.widest = max(self.widest, len(self.text))
+        self.commits += 1
+        if boundary == len(self.text) == self.done:  # nothing is left open
+            self.text, self.best, self.back, self.done = "", [0.0], [(0, -1)], 0
+            return ids[::-1]
         self.text, base = self.text[boundary:], self.best[boundary]
         self.best = [b - base for b in self.best[boundary:]]
         self.back = [(max(0, s - boundary), i) for s, i in self.back[boundary:]]
         self.done -= boundary
-        self.commits += 1
         return ids[::-1]
 
     def feed(self, text: str) -> Iterator[int]:
