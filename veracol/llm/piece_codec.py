@@ -32,7 +32,7 @@ from .shared import text_bytes
 
 MARK = "▁"
 CHECK_EVERY = 32
-_CACHED = 700_000
+_CACHED = 300_000
 _ARROW_IDS = 4 << 20
 
 

@@ -36,7 +36,7 @@ BITS = 20
 PREFIXES = (5, 7)
 THRESHOLD = 0.7
 _SEPARATE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-_CACHED = 300_000
+_CACHED = 150_000
 
 
 def words(data: bytes) -> set[bytes]:
