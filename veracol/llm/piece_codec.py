@@ -23,6 +23,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,13 @@ class Vocabulary:
                 self.texts.append(piece)
         self.longest = max(map(len, self.pieces))
         self.unknown = min(score for score, _ in self.pieces.values()) - 10
-        # every beginning of a piece: its (score, id), or nothing if it is no piece itself
-        self.table = {p[:n]: () for p in self.pieces for n in range(1, len(p))} | self.pieces
+        # pieces as a tree of characters: by character (further characters, score, id), id -1 where no piece ends
+        self.tree: dict[str, list] = {}
+        for piece, (score, number) in self.pieces.items():
+            level = self.tree
+            for c in piece[:-1]:
+                level = level.setdefault(c, [{}, 0.0, -1])[0]
+            level.setdefault(piece[-1], [{}, 0.0, -1])[1:] = score, number
         self.splits_at_marks = not any(MARK in p.lstrip(MARK) for p in self.pieces)
         used = set("".join(self.pieces))
         self.lone_controls = [c for c in map(chr, range(32)) if c not in used]
@@ -80,30 +86,30 @@ class StreamingViterbi:
     def _extend(self, final: bool) -> None:
         """Extend from every start whose pieces are in view; at the end of the text, from all."""
         v, text, best, back = self.vocabulary, self.text, self.best, self.back
-        find, longest, unknown = v.table.get, v.longest, v.unknown
+        tree, longest, unknown = v.tree, v.longest, v.unknown
         n = len(text)
-        best += [-np.inf] * (n + 1 - len(best))
+        best += [-inf] * (n + 1 - len(best))
         back += [(0, -1)] * (n + 1 - len(back))
         stop = n if final else n - longest + 1
         for start in range(self.done, stop):
-            base, single = best[start], False
-            for end in range(start + 1, min(n, start + longest) + 1):
-                piece = find(text[start:end])
-                if piece is None:
+            base, level, end = best[start], tree, start
+            for c in text[start : start + longest]:
+                step = level.get(c)
+                if step is None:
                     break
-                if piece:
-                    if end == start + 1:
-                        single = True
-                    total = base + piece[0]
-                    if total > best[end]:
-                        best[end], back[end] = total, (start, piece[1])
-            if not single and base + unknown > best[start + 1]:
+                level, score, number = step
+                end += 1
+                if number >= 0 and base + score > best[end]:
+                    best[end], back[end] = base + score, (start, number)
+            # a character that is no piece by itself
+            c = tree.get(text[start])
+            if (c is None or c[2] < 0) and base + unknown > best[start + 1]:
                 best[start + 1], back[start + 1] = base + unknown, (start, -1)
         self.done = max(self.done, stop)
 
     def _converged(self) -> int:
         """The last boundary on all surviving paths: those to positions that may yet be extended."""
-        alive = {p for p in range(self.done, min(len(self.best), self.done + self.vocabulary.longest)) if self.best[p] > -np.inf}
+        alive = {p for p in range(self.done, min(len(self.best), self.done + self.vocabulary.longest)) if self.best[p] > -inf}
         while len(alive) > 1:
             last = max(alive)
             alive.remove(last)
@@ -151,9 +157,10 @@ class Codec:
         control = "".join(map(re.escape, v.lone_controls))
         self.parts = re.compile(rf"[{control}]|{MARK}*[^{MARK}{control}]+|{MARK}+") if v.splits_at_marks and control else re.compile(r"(?s).+")
         self.known: dict[str, array] = {}
+        self.search = StreamingViterbi(v)  # empty again after every finish()
 
     def _encode_part(self, part: str) -> array:
-        search = StreamingViterbi(self.vocabulary)
+        search = self.search
         ids = array("i", search.feed(part))
         ids.extend(search.finish())
         if len(part) <= 64:
