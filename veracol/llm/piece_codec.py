@@ -157,10 +157,8 @@ class Codec:
         control = "".join(map(re.escape, v.lone_controls))
         self.parts = re.compile(rf"[{control}]|{MARK}*[^{MARK}{control}]+|{MARK}+") if v.splits_at_marks and control else re.compile(r"(?s).+")
         self.known: dict[str, array] = {}
-        self.search = StreamingViterbi(v)  # empty again after every finish()
 
-    def _encode_part(self, part: str) -> array:
-        search = self.search
+    def _encode_part(self, part: str, search: StreamingViterbi) -> array:
         ids = array("i", search.feed(part))
         ids.extend(search.finish())
         if len(part) <= 64:
@@ -172,9 +170,10 @@ class Codec:
     def encode(self, text: str) -> array:
         ids, known = array("i"), self.known
         if text:
+            search = StreamingViterbi(self.vocabulary)  # empty again after every finish()
             for part in self.parts.findall(MARK + text.replace(" ", MARK)):
                 found = known.get(part)
-                ids += self._encode_part(part) if found is None else found
+                ids += self._encode_part(part, search) if found is None else found
         return ids
 
     def decode(self, ids) -> str:
@@ -208,20 +207,23 @@ def encode_documents(docs: DataFrame, model: str, carried: list[str], text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(model)
-        for batch in batches:
-            rows, start, size = [], 0, 0
-            for at, value in enumerate(batch.column("data")):
-                source = value.as_py().decode("utf-8", "replace")
-                ids = use.encode(source)
-                rows.append((ids, len(ids), zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()), use.decode(ids) == source.replace(MARK, " ")))
-                size += len(ids)
-                if size >= _ARROW_IDS or at == batch.num_rows - 1:
-                    flat = pa.array(np.concatenate([np.asarray(r[0], dtype=np.int32) for r in rows]))
-                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [r[1] for r in rows]), pa.int32()), flat)
-                    rest = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_OUT) if i]
-                    kept = [batch.column(n).slice(start, at + 1 - start) for n in names]
-                    yield pa.RecordBatch.from_arrays([*kept, lists, *rest], names=[*names, *_OUT.names])
-                    rows, start, size = [], at + 1, 0
+        try:
+            for batch in batches:
+                rows, start, size = [], 0, 0
+                for at, value in enumerate(batch.column("data")):
+                    source = value.as_py().decode("utf-8", "replace")
+                    ids = use.encode(source)
+                    rows.append((ids, len(ids), zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()), use.decode(ids) == source.replace(MARK, " ")))
+                    size += len(ids)
+                    if size >= _ARROW_IDS or at == batch.num_rows - 1:
+                        flat = pa.array(np.concatenate([np.asarray(r[0], dtype=np.int32) for r in rows]))
+                        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [r[1] for r in rows]), pa.int32()), flat)
+                        rest = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_OUT) if i]
+                        kept = [batch.column(n).slice(start, at + 1 - start) for n in names]
+                        yield pa.RecordBatch.from_arrays([*kept, lists, *rest], names=[*names, *_OUT.names])
+                        rows, start, size = [], at + 1, 0
+        finally:  # reused workers serve other stages next
+            use.known.clear()
 
     source = docs.select(*[F.col(f"`{f.name}`").alias(n) for f, n in zip(fields, names, strict=True)], text_bytes(text).alias("data"))
     types = ", ".join(f"{n} {f.dataType.simpleString()}" for f, n in zip(fields, names, strict=True))
