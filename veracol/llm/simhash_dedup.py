@@ -43,6 +43,7 @@ SMALL_BUCKET = 12
 GENERATOR = 0b101011100011  # of the (23, 12) code
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _CHUNK = 1 << 16
+_KEYED_AT_ONCE = 512  # a fingerprint has up to 252 keys
 
 
 def fingerprint(data: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -133,8 +134,10 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows():
         for batch in batches:
-            keys, prints = golay_keys(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), tables)
-            yield {"key": keys, "fp": signed(prints)}
+            words = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for at in range(0, len(words), _KEYED_AT_ONCE):
+                keys, prints = golay_keys(words[at : at + _KEYED_AT_ONCE], tables)
+                yield {"key": keys, "fp": signed(prints)}
 
     return arrow_rows(_KEYED, rows())
 
