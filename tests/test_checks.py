@@ -87,6 +87,14 @@ def test_long_category_lists_are_joined(make):
     assert [(i.column, i.affected_count) for i in found] == [("v", 1)]
 
 
+def test_long_category_lists_give_samples_in_row_order(make):
+    rows = [("v1",), (" zz ",), (None,), ("nope",), ("aa",), ("zz",)]
+    for extra in (2, Q.INLINE_SET + 5):
+        df = make("v string", rows)
+        found = issues_of(Q.analyze(df, CheckRules(category_rules={"v": [f"v{i}" for i in range(extra)]}), sample_limit=3), "INCONSISTENT_CATEGORY")
+        assert [(i.affected_count, i.sample_values) for i in found if i.severity == "WARNING"] == [(4, ["zz", "nope", "aa"])]
+
+
 def test_iqr_and_z_score_outliers(make):
     df = make("val bigint", [(v,) for v in [10, 11, 12] * 4 + [500]])
     found = issues_of(Q.analyze(df), "OUTLIER")

@@ -289,6 +289,13 @@ def unlisted_counts(df: DataFrame, column: str, allowed: DataFrame) -> DataFrame
     return unknown.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("affected_count"))
 
 
+def unlisted_samples(df: DataFrame, column: str, allowed: DataFrame, limit: int = 5, order_by: str | None = None) -> DataFrame:
+    """The first values in row order that the table ``allowed`` does not list: (value); each task keeps ``limit`` rows."""
+    value = text.strip(cell(field_map(df)[column]))
+    values = with_row_order(df, order_by).select(F.col(ROW_ID), value.alias("value")).where(F.col("value").isNotNull())
+    return values.join(allowed.select("value").distinct(), "value", "left_anti").orderBy(ROW_ID).limit(limit).select("value")
+
+
 @dataclass
 class Fence:
     """Bounds outside which a value of the column is an outlier."""
@@ -467,7 +474,7 @@ def analyze(
         df.sparkSession,
         lambda: count_probes(df, probes).collect(),
         lambda: sample_values(df, shown_probes, sample_limit, order_by).collect() if shown_probes and sample_limit else [],
-        lambda: _long_lists(df, rules.category_rules, texts),
+        lambda: _long_lists(df, rules.category_rules, texts, sample_limit, order_by),
     )
     rows = counts[0]["total_rows"]
     if rows == 0:
@@ -518,15 +525,15 @@ def _key_collisions(df: DataFrame, keys, limit: int, order_by: str | None) -> li
     return collisions
 
 
-def _long_lists(df: DataFrame, rules: Mapping[str, Sequence[str]], texts: Sequence[str]) -> dict[str, tuple[int, list[str]]]:
-    """Counts for allowed-value lists that are too long for a set in an expression."""
+def _long_lists(df: DataFrame, rules: Mapping[str, Sequence[str]], texts: Sequence[str], limit: int, order_by: str | None) -> dict[str, tuple[int, list[str]]]:
+    """Counts and first offending values for allowed-value lists that are too long for a set in an expression."""
     found = {}
     for name, values in rules.items():
         if name in texts and len(set(values)) > INLINE_SET:
             listed = small_table(df.sparkSession, [(value,) for value in set(values)], "value string")
             n = unlisted_counts(df, name, listed).first()["affected_count"]
             if n:
-                found[name] = (n, [])
+                found[name] = (n, [row["value"] for row in unlisted_samples(df, name, listed, limit, order_by).collect()])
     return found
 
 

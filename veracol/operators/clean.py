@@ -105,14 +105,20 @@ def map_categories(df: DataFrame, mappings: Mapping[str, Mapping[Any, Any]]) ->
     return _replace(joined, changed)
 
 
-def _map_by_join(df: DataFrame, field: T.StructField, mapping: Mapping[Any, Any]) -> DataFrame:
-    schema = T.StructType([T.StructField("__from", field.dataType), T.StructField("__to", field.dataType), T.StructField("__hit", T.BooleanType())])
+def _lookup(df: DataFrame, value: Column, dtype: T.DataType, mapping: Mapping[Any, Any], at: int) -> tuple[DataFrame, Column, Column]:
+    """A long mapping by join: the widened table, the mapped value, and whether the value had an entry."""
+    key, to, hit = f"__from{at}", f"__to{at}", f"__hit{at}"
+    schema = T.StructType([T.StructField(key, dtype), T.StructField(to, dtype), T.StructField(hit, T.BooleanType())])
     table = small_table(df.sparkSession, [(k, v, True) for k, v in mapping.items()], schema)
     if len(mapping) <= BROADCAST_MAP:
         table = F.broadcast(table)
-    joined = df.join(table, ref(field.name) == F.col("__from"), "left")
-    value = F.when(F.col("__hit"), F.col("__to")).otherwise(ref(field.name)).alias(field.name)
-    return joined.select(*[value if name == field.name else ref(name) for name in df.columns])
+    joined = df.join(table, value == F.col(key), "left").drop(key)
+    return joined, F.when(F.col(hit), F.col(to)).otherwise(value), F.coalesce(F.col(hit), F.lit(False))
+
+
+def _map_by_join(df: DataFrame, field: T.StructField, mapping: Mapping[Any, Any]) -> DataFrame:
+    joined, mapped, _ = _lookup(df, ref(field.name), field.dataType, mapping, 0)
+    return joined.select(*[mapped.alias(name) if name == field.name else ref(name) for name in df.columns])
 
 
 def normalize_dates(df: DataFrame, columns: Sequence[str], day_first: bool = False, output_format: str = "yyyy-MM-dd") -> DataFrame:
@@ -498,7 +504,7 @@ def clean(df: DataFrame, rules: CleaningRules | None = None, order_by: str | Non
 def _run_steps(df: DataFrame, rules: CleaningRules, log: _Log, order_by: str | None) -> DataFrame:
     work = with_row_order(df, order_by)
     if rules.drop_empty:
-        work = drop_empty_columns(drop_empty_rows(work))
+        work = _clean_empty(work, log)
     if rules.normalize_column_names:
         work = _clean_headers(work, rules, log)
     work = _clean_cells(work, rules, log)
@@ -512,6 +518,29 @@ def _run_steps(df: DataFrame, rules: CleaningRules, log: _Log, order_by: str | N
     return work
 
 
+def _clean_empty(df: DataFrame, log: _Log) -> DataFrame:
+    """Rows, then columns without any value; the rows are counted before and after in two scans."""
+    filled = drop_empty_rows(df)
+    rows, kept = run_together(df.sparkSession, df.count, filled.count)
+    if rows > kept:
+        log.add("drop_empty_rows", None, {}, rows - kept, f"Removed {rows - kept:,} rows without any value.")
+    left = drop_empty_columns(filled)
+    dropped = [name for name in df.columns if name not in left.columns]
+    if dropped:
+        log.add("drop_empty_columns", None, {"columns": dropped}, len(dropped), f"Removed {len(dropped):,} columns without any value.")
+    return left
+
+
+def _clean_blanks(df: DataFrame, columns: Sequence[str], log: _Log) -> DataFrame:
+    names = _text_columns(df, columns)
+    items = [({"column_name": name}, {"n": count_where(text.is_blank(ref(name)))}) for name in names]
+    blanks = {row["column_name"]: row["n"] for row in aggregate_long(df, items).collect()} if names else {}
+    for name in names:
+        if blanks[name]:
+            log.add("blank_to_missing", name, {}, blanks[name], f"Read {blanks[name]:,} blank values of '{name}' as missing.")
+    return blanks_to_null(df, columns)
+
+
 def _clean_headers(df: DataFrame, rules: CleaningRules, log: _Log) -> DataFrame:
     renamed = sum(old != new for old, new in zip(df.columns, normalized_headers(df.columns, rules.header_style)) if old != ROW_ID)
     if not renamed:
@@ -525,7 +554,7 @@ def _clean_headers(df: DataFrame, rules: CleaningRules, log: _Log) -> DataFrame:
 
 def _clean_cells(df: DataFrame, rules: CleaningRules, log: _Log) -> DataFrame:
     """Row-local steps: compose the expressions, count the changes of all of them in one scan."""
-    fields = field_map(df)
+    fields, names = field_map(df), df.columns
     current: dict[str, Column] = {name: ref(name) for name in fields}
     dtypes: dict[str, T.DataType] = {name: f.dataType for name, f in fields.items()}
     counted: list[tuple[str, str | None, Mapping[str, Any], Column]] = []
@@ -540,17 +569,15 @@ def _clean_cells(df: DataFrame, rules: CleaningRules, log: _Log) -> DataFrame:
             new = text.CASINGS[rule](current[name])
             counted.append(("casing_standardization", name, {"case_type": rule}, current[name] != new))
             current[name] = new
-    by_join: dict[str, Mapping[Any, Any]] = {}
-    for name, mapping in rules.categorical_mappings.items():
+    for at, (name, mapping) in enumerate(rules.categorical_mappings.items()):
         usable = _usable_mapping(fields[name], mapping) if name in fields else {}
         if usable and len(usable) <= INLINE_MAP:
             counted.append(("categorical_mapping", name, {"mapping": dict(mapping)}, current[name].isin(*usable)))
             current[name] = map_column(current[name], usable, dtypes[name])
         elif usable:
-            by_join[name] = usable
-    if by_join:
-        df = map_categories(_replace(df, current), by_join)
-        current = {name: ref(name) for name in fields}
+            df, mapped, hit = _lookup(df, current[name], dtypes[name], usable, at)
+            counted.append(("categorical_mapping", name, {"mapping": dict(mapping)}, hit))
+            current[name] = mapped
     for name in rules.date_columns:
         if name in fields:
             counted.append(("date_normalization", name, {"format": rules.date_format}, current[name].isNotNull()))
@@ -570,7 +597,7 @@ def _clean_cells(df: DataFrame, rules: CleaningRules, log: _Log) -> DataFrame:
             current[name] = range_column(current[name], T.StructField(name, dtypes[name]), low, high, action)
     if counted:
         _log_cells(df, counted, log)
-    changed = _replace(df, current)
+    changed = _replace(df, current).select(*[ref(name) for name in names])
     if rules.invalid_formats and rules.invalid_format_action == "drop":
         changed = invalidate_formats(changed, rules.invalid_formats, "drop")
     return changed
@@ -602,7 +629,7 @@ def _clean_duplicates(df: DataFrame, rules: CleaningRules, log: _Log) -> DataFra
 
 def _clean_missing(df: DataFrame, rules: CleaningRules, log: _Log) -> DataFrame:
     if rules.blank_is_missing:
-        df = blanks_to_null(df, list(rules.missing_strategies))
+        df = _clean_blanks(df, list(rules.missing_strategies), log)
     names = {"mean": "fill_mean", "median": "fill_median", "mode": "fill_mode", "constant": "fill_constant", "ffill": "forward_fill", "bfill": "backward_fill", "drop": "drop_missing"}
     for batch in _batches(rules.missing_strategies):
         fills = resolve_fills(df, batch)
