@@ -124,6 +124,14 @@ def allowed_by_table(spark, sf_dir):
     return Q.unlisted_counts(documents, "source", listed)
 
 
+@query("q08_long_list_samples", "SELECT trim(c_name) AS value FROM customer WHERE trim(c_name) NOT IN (SELECT c_name FROM customer WHERE c_acctbal > 0) ORDER BY c_custkey LIMIT 5")
+def long_list_samples(spark, sf_dir):
+    """The first names outside a list that is a table: customers with a positive balance."""
+    customers = table(spark, sf_dir, "customer")
+    listed = customers.where("c_acctbal > 0").select(F.col("c_name").alias("value"))
+    return Q.unlisted_samples(customers, "c_name", listed, order_by="c_custkey")
+
+
 def _fence_sql(column: str, source: str) -> str:
     return (
         f"SELECT 'OUTLIER' AS category, '{column}' AS column_name, 'iqr' AS rule, count(*) FILTER (WHERE {column} < q1 - 1.5 * (q3 - q1) OR {column} > q3 + 1.5 * (q3 - q1)) AS affected_count, count(*) AS total_rows "

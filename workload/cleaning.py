@@ -257,6 +257,18 @@ def step_log(spark, sf_dir):
     return _cleaned(spark, sf_dir).steps_frame(spark).select("step_number", "operation", "target_column", "rows_affected")
 
 
+@query(
+    "c25_step_log_long_mapping",
+    "SELECT * FROM (VALUES (1, 'casing_standardization', 'c_mktsegment', (SELECT count(*) FROM customer WHERE c_mktsegment <> lower(c_mktsegment))), "
+    "(2, 'categorical_mapping', 'c_mktsegment', (SELECT count(*) FROM customer WHERE lower(c_mktsegment) = 'building'))) v(step_number, operation, target_column, rows_affected)",
+)
+def step_log_long_mapping(spark, sf_dir):
+    """A mapping long enough to be joined is logged as a short one is, after the casing that it builds on."""
+    mapping = {"building": "construction"} | {f"segment {i}": "other" for i in range(C.INLINE_MAP + 1)}
+    rules = C.CleaningRules(strip_whitespace=False, casing_rules={"c_mktsegment": "lower"}, categorical_mappings={"c_mktsegment": mapping})
+    return C.clean(table(spark, sf_dir, "customer"), rules).steps_frame(spark).select("step_number", "operation", "target_column", "rows_affected")
+
+
 @query("c26_snake_case_headers", "SELECT c_custkey AS customer_id, c_name AS full_name, c_acctbal AS acct_bal FROM customer")
 def snake_case_headers(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(" Customer ID # "), F.col("c_name").alias("Full--Name"), F.col("c_acctbal").alias("Acct. Bal"))
