@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .jaccard_dedup import drop_near_duplicates  # noqa: F401
 from .shared import arrow_rows, connected, cut, signed, sorted_groups, text_bytes
 
 MAX_BITS = 4
@@ -299,23 +300,3 @@ def simhash_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     prints = cut(docs.select(F.col(id_column).alias("row_id"), fingerprint_column(text).alias("fp")))
     groups = fingerprint_groups(prints, "row_id")
     return prints.join(groups, "fp").select(F.col("row_id").alias(id_column), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _keeper_keys(row_id: str, fp: str) -> list[Column]:
-    """An id that may be null and a fingerprint as join keys without nulls."""
-    return [F.coalesce(F.col(row_id).cast("string"), F.lit("")).alias("_k1"), F.col(row_id).isNull().alias("_k2"), F.col(fp).alias("_k3")]
-
-
-def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component stays, the one with the smallest id; columns as given.
-
-    Of rows that share that id, the smallest fingerprint stays, once. Only ids and fingerprints
-    take part in the grouping; the texts move once, to meet the ids that stay.
-    """
-    prints = cut(docs.select(F.col(id_column).alias("_id"), fingerprint_column(text).alias("_fp")))
-    groups = fingerprint_groups(prints.withColumnRenamed("_fp", "fp"), "_id").withColumnRenamed("fp", "_fp")
-    lowest = prints.distinct().join(groups, "_fp").where(F.col("_id").eqNullSafe(F.col("component_id")))
-    keepers = cut(lowest.groupBy("root").agg(F.min("_fp").alias("_fp"), F.min("_id").alias("_id")).select(*_keeper_keys("_id", "_fp")))
-    marked = docs.withColumn("_fp", fingerprint_column(text))
-    marked = marked.select("*", *_keeper_keys(id_column, "_fp"))
-    return marked.join(keepers, ["_k1", "_k2", "_k3"], "left_semi").dropDuplicates(["_k1", "_k2", "_k3"]).select(*docs.columns)
