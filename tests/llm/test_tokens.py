@@ -9,7 +9,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from veracol.llm.piece_codec import MARK, Codec, StreamingViterbi, Vocabulary, encode_documents
-from veracol.llm.token_files import SequenceFile, file_bytes, round_trip
+from veracol.llm.token_files import SequenceFile, WordCache, file_bytes, round_trip
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -131,3 +131,12 @@ def test_documents(spark):
 def test_all_given_documents_come_back(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert encode_documents(docs, PIECES, ["doc_id", "source"]).where("not same_text").count() == 0
+
+
+def test_marks_that_compose_in_lower_case_only():
+    """The library composes before it drops case, so J with a caron stays two characters and j does not."""
+    words = [f"{letter}{mark}ab" for letter, mark in zip("JHTWY", "\u030c\u0331\u0308\u030a\u030a", strict=True)]
+    texts = [*words, *(w.lower() for w in words), "Plain WORDS. " + " ".join(words) + " É, ÉCOLE. <", "<|endoftext|> " + words[0]]
+    tokenizer = Tokenizer.from_file(WORDS)
+    got = [np.frombuffer(ids, "<u2").tolist() for ids in WordCache(WORDS, "H").encode([t.encode() for t in texts])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

@@ -48,7 +48,7 @@ class WordCache:
     """Ids of texts from those of their parts between ASCII blanks.
 
     Only for tokenizers that drop white space and split at it, whatever stands around: their ids of a
-    text are those of its parts in a row, whatever their ASCII case. Parts not seen lately are encoded together, and the cache is
+    text are those of its parts in a row, whatever the case of parts that are ASCII throughout. Parts not seen lately are encoded together, and the cache is
     emptied between batches when it is full, so it holds _CACHED parts and those of one batch at most.
     """
 
@@ -63,15 +63,18 @@ class WordCache:
         if len(self.known) > _CACHED:
             self.known.clear()
         known = self.known
-        # the tokenizer drops case and parts letters from marks itself; only its special tokens, which hold "<|", are found before
-        texts = [data if b"<|" in data else _LAST_MARK.sub(rb" \1", data.lower()) for data in texts]
-        new = list(set().union(*(data.split() for data in texts)) - known.keys())
+        # the tokenizer drops case and parts letters from marks itself; only its special tokens, which hold "<|", are found before.
+        # It composes characters before it drops case, and some compose in lower case only: parts beyond ASCII keep their case.
+        texts = [data if b"<|" in data else _LAST_MARK.sub(rb" \1", data.lower() if data.isascii() else data) for data in texts]
+        parted = [data.split() for data in texts]
+        parted = [parts if b"<|" in data or data.isascii() else [p.lower() if p.isascii() else p for p in parts] for data, parts in zip(texts, parted, strict=True)]
+        new = list(set().union(*parted) - known.keys())
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             known.update((word, array(self.code, e.ids).tobytes()) for word, e in zip(part, found, strict=True))
-        for data in texts:
-            yield b"".join(map(known.__getitem__, data.split()))
+        for parts in parted:
+            yield b"".join(map(known.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
