@@ -135,6 +135,17 @@ def test_landing_ingest(spark, tmp_path):
     assert screened.count() == 2
 
 
+def test_landing_takes_files_of_any_size(spark, tmp_path):
+    """Files beyond what the reader of whole files takes are judged by their leading bytes."""
+    for name, content in {"big.csv": b"a,b\n1,2\n", "tool.csv": b"MZ\x90\x00", "big.txt": b"a", "book.xlsx": b"PK\x03\x04"}.items():
+        (tmp_path / name).write_bytes(content)
+        os.truncate(tmp_path / name, (1 << 31) + 10)  # sparse
+    (tmp_path / "small.csv").write_text("a\n1\n")
+    verdicts = {r["file_name"]: r["reason"] for r in screen_files(read_landing(spark, str(tmp_path), None), None).collect()}
+    assert verdicts == {"big.csv": None, "tool.csv": "windows executable", "big.txt": "unsupported type", "book.xlsx": None, "small.csv": None}
+    assert {r["reason"] for r in screen_files(read_landing(spark, str(tmp_path))).collect()} == {None, "too large"}
+
+
 def test_lineage_of_branches_and_chains(spark):
     rows = [("v1", None), *((f"v{i}", f"v{i - 1}") for i in range(2, 12)), ("w1", "v3"), ("w2", "w1"), ("alone", None)]
     versions = small_table(spark, [(v, "d", i, p) for i, (v, p) in enumerate(rows)], "id string, dataset_id string, version_number bigint, parent_version_id string")

@@ -18,22 +18,37 @@ WINDOWS_MAGIC = "4D5A"
 ELF_MAGIC = "7F454C46"
 MACHO_MAGICS = ("FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE")
 HEAD_BYTES = 8
-NO_LIMIT = (1 << 31) - 1  # what the reader of whole files takes
+
+
+def _head_of(spark, path: str) -> bytes:
+    """The leading bytes of one file, the only ones that are read."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        read = [stream.read() for _ in range(HEAD_BYTES)]
+    finally:
+        stream.close()
+    return bytes(b for b in read if b >= 0)
 
 
 def read_landing(spark, path: str, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """(path, length, head) of the files below a folder.
 
     Contents are opened only for files small enough to be accepted; the length filter is applied
-    by the reader before it opens a file. Larger files are listed without a head. Spark's scans
-    pass over empty files, so these are taken from the scan's own file listing.
+    by the reader before it opens a file. Larger files are listed without a head. Of accepted files
+    over MAX_BYTES, in number those that are ingested one by one, only the leading bytes are read;
+    without ``max_bytes`` these may be of any size. Spark's scans pass over empty files, so these
+    are taken from the scan's own file listing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     head = F.substring("content", 1, HEAD_BYTES)
-    if max_bytes is None:
-        max_bytes = NO_LIMIT
-    small = files.where(F.col("length") <= max_bytes).select("path", "length", head.alias("head"))
-    large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("head"))
+    whole = MAX_BYTES if max_bytes is None else min(max_bytes, MAX_BYTES)
+    small = files.where(F.col("length") <= whole).select("path", "length", head.alias("head"))
+    opened = (F.col("length") > whole) & (F.lit(True) if max_bytes is None else F.col("length") <= max_bytes) & extension(base_name(F.col("path"))).isin(*ACCEPTED)
+    large = files.where((F.col("length") > whole) & ~opened).select("path", "length", F.lit(None).cast("binary").alias("head"))
+    if max_bytes is None or max_bytes > whole:
+        heads = [(r["path"], r["length"], _head_of(spark, r["path"])) for r in files.where(opened).select("path", "length").collect()]
+        large = large.unionByName(small_table(spark, heads, "path string, length bigint, head binary"))
     listed = [(unquote(name).replace("file:///", "file:/", 1),) for name in files.inputFiles()]
     unread = small_table(spark, listed, "path string").join(files.select("path"), "path", "left_anti")
     empty = unread.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("head"))
@@ -45,8 +60,9 @@ def screen_files(files: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFra
     named = files.withColumn("file_name", base_name(F.col("path")))
     ext = extension(F.col("file_name"))
     head = F.hex("head")
+    over = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     reason = (
-        F.when(F.col("length") > (NO_LIMIT if max_bytes is None else max_bytes), "too large")
+        F.when(over, "too large")
         .when(~ext.isin(*ACCEPTED), "unsupported type")
         .when(F.col("length") == 0, "empty")
         .when((ext == ".xlsx") & ~head.startswith(XLSX_MAGIC), "not an xlsx container")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from veracol.operators.clean import CleaningRules
 from veracol.plans import catalog as L, jobs
@@ -143,7 +145,8 @@ def ingest_job(spark, sf_dir):
     dirty(spark, sf_dir).coalesce(1).write.options(**CSV_OPTIONS).csv(landing)
     catalog = Catalog(spark, scratch_path(spark, "catalog"))
     results, _ = jobs.ingest_landing(catalog, landing)
-    return results[0].score.to_frame(spark).drop("weight", "weighted_score", "grade", "is_trustworthy")
+    scores = [result.score.to_frame(spark) for result in results]
+    return reduce(DataFrame.unionByName, scores).drop("weight", "weighted_score", "grade", "is_trustworthy")
 
 
 _JOB_CTE = (
