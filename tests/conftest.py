@@ -26,10 +26,3 @@ def make(spark):
         return spark.createDataFrame(numbered, f"{schema}, {ROW_ID} bigint").repartition(3)
 
     return build
-
-
-def values(df, column, order=ROW_ID):
-    """A column's values in row order when the row id is there, else sorted."""
-    if order in df.columns:
-        return [row[0] for row in df.orderBy(order).select(f"`{column}`").collect()]
-    return sorted([row[0] for row in df.select(f"`{column}`").collect()], key=lambda v: (v is None, str(v)))

@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from table_values import values
 from veracol.functions.frames import small_table
 from veracol.operators import checks as Q, score as K
 from veracol.operators.clean import CleaningRules, clean
