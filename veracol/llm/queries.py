@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, piece_codec, quote_links, secret_scan, simhash_dedup, suffix_dedup, token_files, topk_search, toxicity, warc_fixity
+from . import decontamination, periodic_runs, piece_codec, quote_links, secret_scan, simhash_dedup, suffix_dedup, token_files, topk_search, toxicity, warc_fixity
 from .shared import cut, table
 
 # Messages as mail would show them: they quote the one or two before, and now and then start anew.
@@ -138,3 +138,9 @@ def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the strings of 400 bytes that repeat anywhere."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs of words, a tenth of the documents having been made periodic."""
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.with_planted(table(spark, sf_dir, "documents"))))
