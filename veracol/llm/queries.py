@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, periodic_runs, piece_codec, quote_links, secret_scan, simhash_dedup, suffix_dedup, token_files, topk_search, toxicity, warc_fixity
+from . import conversation_trie, decontamination, periodic_runs, piece_codec, quote_links, secret_scan, simhash_dedup, suffix_dedup, token_files, topk_search, toxicity, warc_fixity
 from .shared import cut, table
 
 # Messages as mail would show them: they quote the one or two before, and now and then start anew.
@@ -25,6 +25,10 @@ FROM b
 DAMAGED = "CASE WHEN page_id % 97 = 13 THEN '~' || substr(html, 2) WHEN page_id % 307 = 7 THEN substr(html, 1, CAST(floor(length(html) / 2) AS INT)) ELSE html END"
 LOST = "page_id % 211 = 5"
 
+# Unsigned crc32 of a decimal number: its bytes enter the register, eight shifts after each.
+CRC32 = """xor(4294967295, list_reduce(flatten(list_prepend([4294967295], list_transform(string_split(CAST({} AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op9_quote_links": f"""
@@ -66,6 +70,26 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """,
 }
 
+ORACLES["op12_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS z, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, z) - 1 AS r FROM t),
+s AS (SELECT c, count(*) AS size FROM o GROUP BY c),
+h AS (SELECT c, c - c % 100 AS b, {CRC32.format("c")} % 6 AS h FROM s),
+k AS (SELECT h.c, b, h, least(h, coalesce(s.size, 0)) AS k FROM h LEFT JOIN s ON s.c = h.b),
+p AS (SELECT k.c, r + 1 AS d, z, length(text) AS points FROM k JOIN o ON o.c = k.b AND r < h
+  UNION ALL SELECT k.c, r - h + k + 1, z, length(text) FROM k JOIN o ON o.c = k.c AND r >= h),
+q AS (SELECT c, d, points, string_agg(z, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS key FROM p UNION ALL SELECT c, 0, 0, '' FROM k),
+n AS (SELECT key, d, min(c) AS m, count(*) AS n, max(points) AS points FROM q GROUP BY key, d),
+j AS (SELECT q.c, q.d, n.m, n.n, n.points FROM q JOIN n ON n.key = q.key),
+e AS (SELECT m, d, string_agg(c, ',' ORDER BY c) AS ends FROM (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY c ORDER BY d DESC) = 1) GROUP BY ALL),
+v AS (SELECT a.m, a.d, a.n, a.points, b.m AS parent FROM j a LEFT JOIN j b ON b.c = a.c AND b.d = a.d - 1 WHERE a.c = a.m),
+f AS (SELECT parent AS m, d - 1 AS d, count(*) AS children FROM v WHERE d > 0 GROUP BY ALL),
+w AS (SELECT v.*, coalesce(children, 0) AS children FROM v LEFT JOIN f USING (m, d)),
+u AS (SELECT j.m, j.d, count(*) FILTER (w.children = 0) AS leaves, sum((w.n - 1) * w.points) AS saved FROM w JOIN j ON j.c = w.m AND j.d <= w.d GROUP BY ALL)
+SELECT w.m AS conv_id, w.d AS depth, w.parent AS parent_conv_id, w.n AS n_convs, w.children AS n_children, u.leaves AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM w JOIN u USING (m, d) LEFT JOIN e USING (m, d)
+"""
+
 
 def _query(function):
     QUERIES[function.__name__] = function
@@ -144,3 +168,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's periodic runs of words, a tenth of the documents having been made periodic."""
     return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.with_planted(table(spark, sf_dir, "documents"))))
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations, with the totals of its subtree."""
+    turns = cut(conversation_trie.ranked(table(spark, sf_dir, "conversations")))
+    return conversation_trie.prefix_trie(*conversation_trie.rebuilt(turns))
