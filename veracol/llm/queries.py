@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversation_trie, decontamination, periodic_runs, piece_codec, quote_links, secret_scan, simhash_dedup, suffix_dedup, token_files, topk_search, toxicity, warc_fixity
+from . import conversation_trie, decontamination, disclosure, periodic_runs, piece_codec, quote_links, secret_scan, simhash_dedup, suffix_dedup, token_files, topk_search, toxicity, warc_fixity
 from .shared import cut, table
 
 # Messages as mail would show them: they quote the one or two before, and now and then start anew.
@@ -90,6 +90,48 @@ SELECT w.m AS conv_id, w.d AS depth, w.parent AS parent_conv_id, w.n AS n_convs,
 FROM w JOIN u USING (m, d) LEFT JOIN e USING (m, d)
 """
 
+# Personal data: kind, number, pattern and what a match must pass; m is the match, z its digits.
+_PERSONAL = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", "lower(m)"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || right(p, 3) AS INT) > 255)) = 0", "m"),
+    ("card", r"[0-9](?:[ -]?[0-9])+", "length(z) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(z), ''), lambda d, i: CASE WHEN i % 2 = 1 THEN CAST(d AS INT) WHEN d > '4' THEN 2 * CAST(d AS INT) - 9 ELSE 2 * CAST(d AS INT) END)) % 10 = 0", "z"),
+    ("phone", r"\+[0-9][ ().0-9-]+[0-9]", "length(z) BETWEEN 10 AND 15", "z"),
+]
+
+
+def _located(pattern: str, text: str = "text") -> str:
+    """Array of (s, e, m, l, r) of all matches: gaps and matches before each are summed, l and r are the ends of the gaps around it."""
+    found, gaps = f"regexp_extract_all({text}, '{pattern}')", f"string_split_regex({text}, '{pattern}')"
+    upto = lambda n: f"CAST(coalesce(list_sum(list_transform({gaps}[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform({found}[1:{n}], lambda g: length(g))), 0) AS BIGINT)"
+    return f"list_transform({found}, lambda m, i: {{'s': {upto('i - 1')}, 'e': {upto('i')}, 'm': m, 'l': right({gaps}[i], {disclosure.REACH}), 'r': left({gaps}[i + 1], {disclosure.REACH})}})"
+
+
+_BASE = " UNION ALL ".join(
+    f"SELECT doc_id, {n} AS k, s, e, l, r, '{kind} ' || {normal} AS v FROM (SELECT doc_id, x.s, x.e, x.m, x.l, x.r, regexp_replace(x.m, '[^0-9]', '', 'g') AS z FROM (SELECT doc_id, unnest({_located(pattern)}) AS x FROM d)) WHERE {test}"
+    for n, (kind, pattern, test, normal) in enumerate(_PERSONAL)
+)
+_LEFT = rf"CASE WHEN length(l) = {disclosure.REACH} THEN regexp_replace(l, '^[\p{{L}}\p{{N}}]+', '') ELSE l END"
+_RIGHT = rf"CASE WHEN length(r) = {disclosure.REACH} THEN regexp_replace(r, '[\p{{L}}\p{{N}}]+$', '') ELSE r END"
+ORACLES["op13_disclosure"] = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+b AS MATERIALIZED ({_BASE}),
+c AS (SELECT doc_id, v, regexp_replace(l || chr(10) || r, '{"|".join(p for _, p, _, _ in _PERSONAL)}', chr(10), 'g') AS context FROM (SELECT doc_id, v, {_LEFT} AS l, {_RIGHT} AS r FROM b)),
+near AS MATERIALIZED (SELECT DISTINCT doc_id, v, unnest(regexp_extract_all(lower(context), '{disclosure.TERM}')) AS t FROM c),
+both_ AS (SELECT v, t, count(DISTINCT doc_id) AS both_n FROM near GROUP BY v, t HAVING count(DISTINCT doc_id) >= {disclosure.LEAST_TOGETHER}),
+nv AS (SELECT v, count(DISTINCT doc_id) AS nv FROM b GROUP BY v),
+nt AS (SELECT t, count(*) AS nt FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{disclosure.TERM}')) AS t FROM d) GROUP BY t),
+told AS (SELECT v, t, both_n = nt AS whole FROM both_ JOIN nv USING (v) JOIN nt USING (t), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d)
+  WHERE nv < n AND log2(both_n * n / (nt * nv)) >= {disclosure.GENERAL} * log2(n / nv)),
+f AS MATERIALIZED (SELECT doc_id, t, max(whole) AS whole FROM near JOIN told USING (v, t) GROUP BY doc_id, t),
+w AS (SELECT doc_id, x.s, x.e, lower(x.m) AS t FROM (SELECT doc_id, unnest({_located(disclosure.TERM)}) AS x FROM d WHERE doc_id IN (SELECT doc_id FROM f))),
+g AS (SELECT doc_id, CASE WHEN whole THEN 5 ELSE 4 END AS k, s, e FROM w JOIN f USING (doc_id, t) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
+a AS (SELECT doc_id, k, s, e FROM b UNION ALL SELECT doc_id, k, s, e FROM g),
+h AS (SELECT doc_id, string_agg({list(disclosure.KINDS)}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans, string_agg({list(disclosure.KINDS)}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 4) AS base,
+  count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone FROM a GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN h USING (doc_id)
+"""
+
 
 def _query(function):
     QUERIES[function.__name__] = function
@@ -175,3 +217,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prefix of the rebuilt conversations, with the totals of its subtree."""
     turns = cut(conversation_trie.ranked(table(spark, sf_dir, "conversations")))
     return conversation_trie.prefix_trie(*conversation_trie.rebuilt(turns))
+
+
+@_query
+def op13_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data, and the terms that the corpus shows to give it away."""
+    return disclosure.digest(disclosure.find_disclosures(table(spark, sf_dir, "documents")))
