@@ -3,8 +3,10 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from veracol.operators import profile as P
+from veracol.operators import quantiles
 from veracol.operators.quantiles import exact_quantiles
 
 
@@ -103,23 +105,62 @@ def test_footprint_counts_text_bytes(make):
     assert sizes == {"v": 16, "t": 2}
 
 
-@pytest.mark.parametrize("limit", [3, 50])
-def test_searched_quantiles_match_sorting(make, limit):
-    rows = [(float((i * 7919) % 613),) for i in range(2000)] + [(5.0,)] * 1000 + [(1e9,), (-1e9,)] + [(None,)] * 7
-    df = make("v double", rows)
-    found = exact_quantiles(df, ["v"], [0.0, 0.1, 0.25, 0.5, 0.75, 1.0], buffer_values=limit)["v"]
-    ordered = sorted(v for (v,) in rows if v is not None)
+def _by_sorting(values, p):
+    ordered = sorted(values)
+    position = (len(ordered) - 1) * p
+    low = math.floor(position)
+    high = min(low + 1, len(ordered) - 1)
+    return ordered[low] if ordered[low] == ordered[high] or position == low else ordered[low] + (ordered[high] - ordered[low]) * (position - low)
+
 
-    def expected(p):
-        position = (len(ordered) - 1) * p
-        low = math.floor(position)
-        high = min(low + 1, len(ordered) - 1)
-        return ordered[low] + (ordered[high] - ordered[low]) * (position - low)
+PROBABILITIES = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
 
-    assert found == pytest.approx([expected(p) for p in (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)])
+
+@pytest.mark.parametrize("buckets", [2, 50, 4096])
+def test_searched_quantiles_match_sorting(make, buckets):
+    rows = [(float((i * 7919) % 613),) for i in range(2000)] + [(5.0,)] * 1000 + [(1e9,), (-1e9,)] + [(None,)] * 7
+    found = exact_quantiles(make("v double", rows), ["v"], PROBABILITIES, buckets=buckets)["v"]
+    assert found == pytest.approx([_by_sorting([v for (v,) in rows if v is not None], p) for p in PROBABILITIES])
+
+
+def test_searched_quantiles_of_odd_columns(make):
+    columns = {
+        "wide": [2.0**e * s for e in range(-1000, 1000, 9) for s in (1, -1)],
+        "tiny": [5e-324 * i for i in range(100)],
+        "huge": [1.7e308, -1.7e308, 0.0, 1.0],
+        "infinite": [math.inf] * 3 + [-math.inf] * 2 + [1.0, 2.0],
+        "only": [math.inf] * 4,
+        "near": [1.0 + 2**-52 * i for i in range(50)],
+        "zeros": [0.0] * 500 + [-0.0] * 30 + [1.0, -3.0],
+        "negative": [-(2.0**e) for e in range(0, 200)],
+        "none": [],
+        "nan": [math.nan, 1.0, 2.0],
+    }
+    height = max(map(len, columns.values()))
+    rows = [tuple(v[i] if i < len(v) else None for v in columns.values()) for i in range(height)]
+    found = exact_quantiles(make(", ".join(f"{c} double" for c in columns), rows), list(columns), PROBABILITIES, buckets=16)
+    for name, column in columns.items():
+        column = [v for v in column if not math.isnan(v)]
+        want = [_by_sorting(column, p) if column else None for p in PROBABILITIES]
+        assert found[name] == [w if w is None or not math.isnan(w) else None for w in want], name
+
+
+def test_quantiles_take_the_same_jobs_for_any_number_of_columns(make, spark):
+    rows = [tuple(float((i * (7 + c)) % 997) for c in range(40)) for i in range(1500)]
+    df = make(", ".join(f"c{c} double" for c in range(40)), rows)
+    jobs = {}
+    for count in (1, 40):
+        spark.sparkContext.setJobGroup(f"quantiles{count}", "")
+        exact_quantiles(df, [f"c{c}" for c in range(count)], [0.25, 0.5, 0.75])
+        jobs[count] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"quantiles{count}"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[40] <= jobs[1] + 2
+    names = [f"c{c}" for c in range(40)]
+    plan = quantiles._grouped(df, [(F.lit(0), F.col(n)) for n in names])._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "collect_list" not in plan and plan.count("Exchange hashpartitioning(s") == 1
 
 
 def test_searched_quantiles_when_one_value_dominates(make):
     rows = [(1.0,)] * 900 + [(float(i),) for i in range(2, 302)]
     df = make("v double", rows)
-    assert exact_quantiles(df, ["v"], [0.25, 0.5, 0.75, 0.9], buffer_values=10)["v"] == pytest.approx(exact_quantiles(df, ["v"], [0.25, 0.5, 0.75, 0.9])["v"])
+    assert exact_quantiles(df, ["v"], [0.25, 0.5, 0.75, 0.9], buckets=3)["v"] == pytest.approx(exact_quantiles(df, ["v"], [0.25, 0.5, 0.75, 0.9])["v"])

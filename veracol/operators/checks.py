@@ -25,7 +25,7 @@ from ..session import cut_lineage
 from ..sources.row_order import with_row_order
 from . import duplicates, value_counts as vc
 from .profile import percent
-from .quantiles import exact_quantiles
+from .quantiles import BUCKETS, exact_quantiles
 
 # Named formats. Letters and digits of any script match \w and \d.
 PATTERNS = {
@@ -314,7 +314,7 @@ class Fence:
         return (value < F.lit(self.low)) | (value > F.lit(self.high))
 
 
-def outlier_fences(df: DataFrame, method: str = "iqr", columns: Sequence[str] | None = None, buffer_values: int | None = None) -> list[Fence]:
+def outlier_fences(df: DataFrame, method: str = "iqr", columns: Sequence[str] | None = None, buckets: int = BUCKETS) -> list[Fence]:
     """Fences of the numeric columns with enough values and spread: a few numbers per column."""
     fields = field_map(df)
     names = list(columns) if columns is not None else [f.name for f in fields_of(df, "numeric")]
@@ -333,8 +333,7 @@ def outlier_fences(df: DataFrame, method: str = "iqr", columns: Sequence[str] |
         stats = {name: (row[f"a{place[name]}"], row[f"s{place[name]}"]) for name in enough}
         # Infinite values leave no usable deviation (and NaN compares as largest in Spark).
         return [Fence(name, mean=mean, std=std) for name, (mean, std) in stats.items() if std and math.isfinite(std)]
-    limits = {} if buffer_values is None else {"buffer_values": buffer_values}
-    quartiles = exact_quantiles(df, enough, [0.25, 0.75], {name: row[f"n{names.index(name)}"] for name in enough}, **limits)
+    quartiles = exact_quantiles(df, enough, [0.25, 0.75], {name: row[f"n{names.index(name)}"] for name in enough}, buckets)
     fences = []
     for name in enough:
         q25, q75 = quartiles[name]

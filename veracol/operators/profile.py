@@ -33,7 +33,7 @@ from ..functions.frames import small_table
 from ..functions.together import run_together
 from ..sources.row_order import with_row_order
 from . import duplicates, value_counts as vc
-from .quantiles import BUFFER_VALUES, exact_quantiles
+from .quantiles import BUCKETS, exact_quantiles
 
 # A text column is probed for dates only up to this many values, on the first PROBED of them.
 DATE_PROBE_LIMIT = 500
@@ -98,26 +98,29 @@ def column_distincts(df: DataFrame, approximate: bool = False) -> DataFrame:
     return joined.select("column_name", "unique_count", ratio_percent(F.col("unique_count"), F.col("total_count")).alias("unique_percentage"))
 
 
-def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, counts: Mapping[str, int] | None = None, buffer_values: int = BUFFER_VALUES) -> DataFrame:
+def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, counts: Mapping[str, int] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """min, max, mean, median, sample std (0 for one value), quartiles; rounded to 4 digits."""
+    return _number_stats(df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75}, counts, buckets)
+
+
+def _number_stats(df: DataFrame, columns: Sequence[str] | None, ranks: Mapping[str, float], counts: Mapping[str, int] | None = None, buckets: int = BUCKETS) -> DataFrame:
     fields = field_map(df)
     names = list(columns) if columns is not None else [f.name for f in fields_of(df, "numeric")]
-    quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75], counts, buffer_values)
+    found = exact_quantiles(df, names, list(ranks.values()), counts, buckets)
     items = []
     for name in names:
         value = cell(fields[name]).cast("double")
-        q25, q50, q75 = (F.lit(q).cast("double") for q in quartiles[name])
+        quantiles = {key: _constant(F.round(F.lit(q).cast("double"), 4)) for key, q in zip(ranks, found[name], strict=True)}
         measures = {
             "value_count": F.count(value),
             "min": F.min(value),
             "max": F.max(value),
             "mean": F.round(F.avg(value), 4),
-            "median": F.round(q50, 4),
+            "median": quantiles.pop("median"),
             "std": F.when(F.count(value) > 0, F.coalesce(F.round(F.stddev_samp(value), 4), F.lit(0.0))),
-            "q25": F.round(q25, 4),
-            "q75": F.round(q75, 4),
+            **quantiles,
         }
-        items.append(({"column_name": name}, {key: _constant(measure) if key in ("median", "q25", "q75") else measure for key, measure in measures.items()}))
+        items.append(({"column_name": name}, measures))
     return aggregate_long(df, items)
 
 
@@ -128,7 +131,7 @@ def _constant(value: Column) -> Column:
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, median and max of the numeric columns."""
-    stats = numeric_stats(df, columns)
+    stats = _number_stats(df, columns, {"median": 0.5})
     return stats.select("column_name", "value_count", "mean", "std", "min", "median", "max")
 
 

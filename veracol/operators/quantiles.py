@@ -1,108 +1,113 @@
-"""Exact order statistics without collecting a column into one buffer.
-
-Up to ``BUFFER_VALUES`` values of a column are sorted in one aggregation buffer, which is several
-times faster than ``percentile`` with its map of distinct values. Beyond, each wanted rank is narrowed by scans: an approximate quantile of
-the values still in question brackets the rank, exact counts say on which side of the bracket
-ends it lies, and the open interval shrinks by three orders of magnitude per round. No round
-shuffles more than one row per task, and a value repeated any number of times ends the search
-as soon as it is a bracket end.
+"""Exact order statistics of many columns by refining histograms.
+
+All columns are searched at once. A first grouping by column finds counts and ends; then every interval that holds a
+wanted rank is cut into ``BUCKETS`` buckets, and one ``groupBy(search, bucket)`` counts them, with the least and the
+greatest value of each. The bucket that holds a rank is the next interval, until its two ends are one value. Buckets are combined
+before they move and may go to any number of reducers; what comes back is one row for each wanted rank. The number of jobs does
+not depend on the number of columns or ranks, and a value repeated any number of times is one end of some bucket.
+
+An interval is cut evenly. If that hardly separated its values, it is cut at zero next, or by orders of magnitude if it lies on
+one side of zero. Every cut is a monotone function of the value, so ranks stay exact whatever the rounding of the cut.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
-from functools import partial
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import cell, chunks, count_where, field_map
-from ..functions.together import run_together
+from ..functions.columns import cell, chunks, field_map
 
-BUFFER_VALUES = 1_000_000
-SKETCH_ACCURACY = 10_000
+BUCKETS = 4096
+SEARCHES_PER_SCAN = 30  # elements of one generated row; further searches are another branch of the same job
+POOR = 0.25  # an even cut that leaves this share in the bucket is followed by one of another kind
 
 
 @dataclass
 class _Search:
-    """A wanted rank, and the open interval (low, high) its value is known to lie in."""
+    """An interval [low, high] of a column, the number of values before it, and the ranks wanted inside."""
 
     column: str
-    rank: int  # zero-based rank among the column's values
-    skipped: int  # values at or below low
-    inside: int  # values strictly inside the interval
-    low: float | None = None
-    high: float | None = None
-    value: float | None = None
-    following: float | None = None  # value at rank + 1
-
-    def values(self, column: Column) -> Column:
-        keep = column.isNotNull()
-        if self.low is not None:
-            keep = keep & (column > F.lit(self.low))
-        if self.high is not None:
-            keep = keep & (column < F.lit(self.high))
-        return F.when(keep, column)
-
-
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    counts: Mapping[str, int] | None = None,
-    buffer_values: int = BUFFER_VALUES,
-) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles per column; ``counts`` may pass known non-null counts."""
-    if not columns:
-        return {}
+    low: float
+    high: float
+    skipped: int = 0
+    evenly: bool = True
+    ranks: list[int] = field(default_factory=list)
+
+    def bucket(self, value: Column, buckets: int) -> Column:
+        """Number of the bucket of a value; null outside of the interval."""
+        low, high = F.lit(self.low), F.lit(self.high)
+        if math.isinf(self.low) or math.isinf(self.high):
+            # infinities are buckets of their own
+            number = F.when(value == F.lit(math.inf), 1).when(value == F.lit(-math.inf), -1).otherwise(0)
+        elif self.low < 0 < self.high and not (self.evenly and math.isfinite(self.high - self.low)):
+            number = F.signum(value)
+        elif not self.evenly and 0 < self.low and 2 * self.low < self.high:
+            number = F.floor((F.log2(value) - F.log2(low)) / F.lit(math.log2(self.high) - math.log2(self.low)) * buckets)
+        elif not self.evenly and self.high < 0 and self.low < 2 * self.high:
+            number = F.floor((F.log2(-low) - F.log2(-value)) / F.lit(math.log2(-self.low) - math.log2(-self.high)) * buckets)
+        else:
+            number = F.floor((value - low) / F.lit(self.high - self.low) * buckets)
+        return F.when((value >= low) & (value <= high), number.cast("int"))
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], counts: Mapping[str, int] | None = None, buckets: int = BUCKETS) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles per column; ``counts`` of known columns without values spare their search."""
     fields = field_map(df)
-    doubles = {name: cell(fields[name]).cast("double") for name in columns}
-    if counts is None:
-        row = df.agg(*[F.count(doubles[name]).alias(f"n{i}") for i, name in enumerate(columns)]).first()
-        counts = {name: row[i] for i, name in enumerate(columns)}
-    found: dict[str, list[float | None]] = {}
-    small = [name for name in columns if counts[name] <= buffer_values]
-    passes = [{name: doubles[name] for name in part} for part in _passes(small, counts, 2 * buffer_values)]
-    for result in run_together(df.sparkSession, *[partial(_by_sorting, df, part, counts, probabilities) for part in passes]):
-        found.update(result)
-    large = [name for name in columns if counts[name] > buffer_values]
-    if large:
-        found.update(_by_search(df, {name: doubles[name] for name in large}, counts, probabilities, buffer_values))
-    return {name: [finite_or_none(value) for value in found[name]] for name in columns}
-
-
-def _passes(columns: Sequence[str], counts: Mapping[str, int], values: int) -> list[list[str]]:
-    """Group columns so that the values sorted in one task stay within a bound."""
-    passes: list[list[str]] = []
-    room = 0
-    for name in columns:
-        if not passes or counts[name] > room or len(passes[-1]) >= 20:
-            passes.append([])
-            room = values
-        passes[-1].append(name)
-        room -= counts[name]
-    return passes
-
-
-def _by_sorting(df, doubles, counts, probabilities) -> dict[str, list[float | None]]:
-    """Sort the bounded columns and pick the wanted ranks."""
-    ranks = {name: sorted({r for p in probabilities for r in _rank_pair(counts[name], p)}) for name in doubles if counts[name]}
-    if not ranks:
-        return {name: [None] * len(probabilities) for name in doubles}
-    ordered = df.agg(*[F.sort_array(F.collect_list(doubles[name])).alias(f"s{i}") for i, name in enumerate(ranks)])
-    row = ordered.select(*[_picks(F.col(f"s{i}"), ranks[name]).alias(f"p{i}") for i, name in enumerate(ranks)]).first()
-    found: dict[str, list[float | None]] = {name: [None] * len(probabilities) for name in doubles}
-    for i, name in enumerate(ranks):
-        at = dict(zip(ranks[name], row[i]))
-        found[name] = [_between(at, counts[name], p) for p in probabilities]
-    return found
-
-
-def _picks(ordered: Column, ranks: Sequence[int]) -> Column:
-    """Values at zero-based ranks. Plain references keep the sort in the step below, done once;
-    a lambda over the ranks would have it repeated for each of them."""
-    return F.array(*[F.element_at(ordered, r + 1) for r in ranks])
+    doubles = {name: cell(fields[name]).cast("double") for name in dict.fromkeys(columns) if counts is None or counts[name]}
+    totals, open_searches = _ends(df, doubles, probabilities)
+    values: dict[tuple[str, int], float] = {}
+    while open_searches:
+        for s in [s for s in open_searches if s.low == s.high]:
+            values |= {(s.column, rank): s.low for rank in s.ranks}
+        open_searches = _narrow(df, doubles, [s for s in open_searches if s.low != s.high], buckets)
+    found = {name: [_between(values, name, totals[name], p) if totals.get(name) else None for p in probabilities] for name in columns}
+    return {name: [finite_or_none(value) for value in row] for name, row in found.items()}
+
+
+def _ends(df: DataFrame, doubles: Mapping[str, Column], probabilities: Sequence[float]) -> tuple[dict[str, int], list[_Search]]:
+    """Counts of all columns, and the first interval of each with its wanted ranks."""
+    names = list(doubles)
+    totals, searches = {}, []
+    for row in _grouped(df, [(F.lit(0), doubles[name]) for name in names]).select("s", "n", "low", "high").collect() if names else []:
+        name = names[row["s"]]
+        totals[name] = row["n"]
+        ranks = sorted({r for p in probabilities for r in _rank_pair(row["n"], p)})
+        searches.append(_Search(name, row["low"], row["high"], ranks=ranks))
+    return totals, searches
+
+
+def _grouped(df: DataFrame, searches: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """(s, bucket, n, low, high) of the values of each search (bucket, value); values without a bucket do not count."""
+    branches = []
+    for part in chunks(list(enumerate(searches)), SEARCHES_PER_SCAN):
+        cells = [F.struct(F.lit(i).alias("s"), bucket.alias("bucket"), value.alias("v")) for i, (bucket, value) in part]
+        branches.append(df.select(F.inline(F.array(*cells))).where("bucket IS NOT NULL AND v IS NOT NULL"))
+    rows = reduce(DataFrame.unionByName, branches)
+    return rows.groupBy("s", "bucket").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def _narrow(df: DataFrame, doubles: Mapping[str, Column], searches: Sequence[_Search], buckets: int) -> list[_Search]:
+    """The buckets that hold the wanted ranks, as the searches of the next round."""
+    if not searches:
+        return []
+    counted = _grouped(df, [(s.bucket(doubles[s.column], buckets), doubles[s.column]) for s in searches])
+    order = Window.partitionBy("s").orderBy("bucket")  # at most BUCKETS rows and a few
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("n").over(Window.partitionBy("s"))
+    wanted = F.create_map(*[F.lit(x) for i, s in enumerate(searches) for x in (i, [r - s.skipped for r in s.ranks])])
+    held = F.exists(F.try_element_at(wanted, F.col("s")), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
+    rows = counted.withColumns({"before": before, "inside": inside}).where(held).collect()
+    following = []
+    for row in rows:
+        s = searches[row["s"]]
+        first = s.skipped + row["before"]
+        ranks = [r for r in s.ranks if first <= r < first + row["n"]]
+        following.append(_Search(s.column, row["low"], row["high"], first, not (s.evenly and row["n"] > POOR * row["inside"]), ranks))
+    return following
 
 
 def _rank_pair(count: int, probability: float) -> tuple[int, int]:
@@ -110,9 +115,9 @@ def _rank_pair(count: int, probability: float) -> tuple[int, int]:
     return lower, min(lower + 1, count - 1)
 
 
-def _between(at: Mapping[int, float], count: int, probability: float) -> float:
+def _between(values: Mapping[tuple[str, int], float], name: str, count: int, probability: float) -> float:
     lower, upper = _rank_pair(count, probability)
-    return _mix(at[lower], at[upper], (count - 1) * probability - lower)
+    return _mix(values[name, lower], values[name, upper], (count - 1) * probability - lower)
 
 
 def _mix(low: float, high: float, share: float) -> float:
@@ -122,86 +127,3 @@ def _mix(low: float, high: float, share: float) -> float:
 
 def finite_or_none(value: float | None) -> float | None:
     return None if value is None or math.isnan(value) else value
-
-
-def _by_search(df, doubles, counts, probabilities, buffer_values) -> dict[str, list[float | None]]:
-    wanted: dict[tuple[str, int], _Search] = {}
-    for name in doubles:
-        for probability in probabilities:
-            rank = math.floor((counts[name] - 1) * probability)
-            wanted.setdefault((name, rank), _Search(name, rank, skipped=0, inside=counts[name]))
-    open_searches = list(wanted.values())
-    while open_searches:
-        ready = [s for s in open_searches if s.inside <= buffer_values]
-        for part in chunks(ready, 8):
-            _finish(df, doubles, part)
-        narrowing = [s for s in open_searches if s.inside > buffer_values]
-        for part in chunks(narrowing, 16):
-            _narrow(df, doubles, part)
-        open_searches = [s for s in narrowing if s.value is None]
-    for part in chunks(list(wanted.values()), 20):
-        _successors(df, doubles, part)
-    return {name: [_interpolate(wanted, name, counts[name], p) for p in probabilities] for name in doubles}
-
-
-def _successors(df: DataFrame, doubles, searches: Sequence[_Search]) -> None:
-    """The value at the next rank: the same one if it repeats, else the smallest above it."""
-    measures = []
-    for i, s in enumerate(searches):
-        column = doubles[s.column]
-        measures += [count_where(column <= F.lit(s.value)).alias(f"n{i}"), F.min(F.when(column > F.lit(s.value), column)).alias(f"m{i}")]
-    row = df.agg(*measures).first()
-    for i, s in enumerate(searches):
-        s.following = s.value if row[f"n{i}"] > s.rank + 1 or row[f"m{i}"] is None else row[f"m{i}"]
-
-
-def _finish(df: DataFrame, doubles, searches: Sequence[_Search]) -> None:
-    """Few values are left inside: sort them and pick."""
-    picks = [
-        F.element_at(F.sort_array(F.collect_list(s.values(doubles[s.column]))), F.lit(s.rank - s.skipped + 1)).alias(f"v{i}")
-        for i, s in enumerate(searches)
-    ]
-    row = df.agg(*picks).first()
-    for i, search in enumerate(searches):
-        search.value = row[i]
-
-
-def _narrow(df: DataFrame, doubles, searches: Sequence[_Search]) -> None:
-    margin = 2.0 / SKETCH_ACCURACY
-    sketches = []
-    for i, s in enumerate(searches):
-        share = (s.rank - s.skipped + 0.5) / s.inside
-        ends = [F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin))]
-        sketches.append(F.percentile_approx(s.values(doubles[s.column]), F.array(*ends), SKETCH_ACCURACY).alias(f"b{i}"))
-    brackets = df.agg(*sketches).first()
-    tallies = []
-    for i, s in enumerate(searches):
-        value, (start, end) = s.values(doubles[s.column]), brackets[i]
-        tallies += [
-            count_where(value < F.lit(start)).alias(f"below{i}"),
-            count_where(value == F.lit(start)).alias(f"start{i}"),
-            count_where((value > F.lit(start)) & (value < F.lit(end))).alias(f"inner{i}"),
-            count_where((value == F.lit(end)) & F.lit(end != start)).alias(f"end{i}"),
-        ]
-    row = df.agg(*tallies).first()
-    for i, s in enumerate(searches):
-        start, end = brackets[i]
-        below, at_start, inner, at_end = (row[f"{part}{i}"] for part in ("below", "start", "inner", "end"))
-        offset = s.rank - s.skipped
-        if offset < below:
-            s.high, s.inside = start, below
-        elif offset < below + at_start:
-            s.value = start
-        elif offset < below + at_start + inner:
-            s.low, s.high, s.skipped, s.inside = start, end, s.skipped + below + at_start, inner
-        elif offset < below + at_start + inner + at_end:
-            s.value = end
-        else:
-            consumed = below + at_start + inner + at_end
-            s.low, s.skipped, s.inside = end, s.skipped + consumed, s.inside - consumed
-
-
-def _interpolate(wanted, name: str, count: int, probability: float) -> float:
-    position = (count - 1) * probability
-    search = wanted[(name, math.floor(position))]
-    return _mix(search.value, search.following, position - search.rank)

@@ -148,7 +148,7 @@ def iqr_outliers(spark, sf_dir):
 @query("q09_iqr_outliers_orders", _fence_sql("o_totalprice", "orders"))
 def iqr_outliers_orders(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_totalprice")
-    return Q.count_probes(df, Q.outlier_probes(df, Q.outlier_fences(df, buffer_values=2_000)))
+    return Q.count_probes(df, Q.outlier_probes(df, Q.outlier_fences(df, buckets=64)))
 
 
 @query(
