@@ -145,6 +145,18 @@ def test_searched_quantiles_of_odd_columns(make):
         assert found[name] == [w if w is None or not math.isnan(w) else None for w in want], name
 
 
+def test_grouped_quantiles_like_one_by_one(make):
+    rows = [(g, float((i * 7919) % (40 + 100 * g)) - 30 * g) for g in range(5) for i in range(1, 400 * g)]
+    rows += [(7, v) for v in (math.inf, math.inf, 1.0, -math.inf, 2.0)] + [(8, None), (8, math.nan), (9, 5e-324), (9, 1.7e308), (9, -1.7e308), (None, 3.0), (None, 4.0)]
+    df = make("g bigint, v double", rows)
+    found = {r.g: r for r in quantiles.grouped_quantiles(df, ["g"], PROBABILITIES, buckets=7).collect()}
+    assert set(found) == {1, 2, 3, 4, 7, 9}  # a null key joins nothing and is left out, as a group without values is
+    for g, row in found.items():
+        column = [v for k, v in rows if k == g]
+        want = [_by_sorting(column, p) for p in PROBABILITIES]
+        assert row.n == len(column) and row.quantiles == [None if math.isnan(w) else w for w in want], g
+
+
 def test_quantiles_take_the_same_jobs_for_any_number_of_columns(make, spark):
     rows = [tuple(float((i * (7 + c)) % 997) for c in range(40)) for i in range(1500)]
     df = make(", ".join(f"c{c} double" for c in range(40)), rows)

@@ -165,11 +165,13 @@ def enforce_ranges(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> Dat
     return _replace(df, changed)
 
 
-def handle_outliers(df: DataFrame, rules: Mapping[str, Mapping[str, str] | str]) -> DataFrame:
-    """Clip numbers to the quartile fences, or nullify those outside."""
+def handle_outliers(df: DataFrame, rules: Mapping[str, Mapping[str, str] | str], fences: Sequence[checks.Fence] | None = None) -> DataFrame:
+    """Clip numbers to the quartile fences, or nullify those outside; ``fences`` hands in those already known."""
     fields = field_map(df)
     changed = {}
-    for fence in checks.outlier_fences(df, "iqr", [name for name in rules if name in fields and kind(fields[name].dataType) == "numeric"]):
+    if fences is None:
+        fences = checks.outlier_fences(df, "iqr", [name for name in rules if name in fields and kind(fields[name].dataType) == "numeric"])
+    for fence in fences:
         rule = rules[fence.column]
         action = rule if isinstance(rule, str) else rule.get("strategy", "clip")
         if fence.low is not None:
@@ -657,7 +659,7 @@ def _clean_outliers(df: DataFrame, rules: CleaningRules, log: _Log) -> DataFrame
         for row in checks.count_probes(df, probes).collect():
             if row["affected_count"]:
                 log.add("handle_outliers", row["column_name"], {"rule": rules.outlier_rules[row["column_name"]]}, row["affected_count"], f"Treated {row['affected_count']:,} outliers of '{row['column_name']}'.")
-    return handle_outliers(df, rules.outlier_rules)
+    return handle_outliers(df, rules.outlier_rules, fences)
 
 
 def _clean_types(df: DataFrame, rules: CleaningRules, log: _Log) -> DataFrame:

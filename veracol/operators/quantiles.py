@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import cell, chunks, field_map
+from ..session import cut_lineage
 
 BUCKETS = 4096
 SEARCHES_PER_SCAN = 30  # elements of one generated row; further searches are another branch of the same job
@@ -38,20 +39,21 @@ class _Search:
     ranks: list[int] = field(default_factory=list)
 
     def bucket(self, value: Column, buckets: int) -> Column:
-        """Number of the bucket of a value; null outside of the interval."""
-        low, high = F.lit(self.low), F.lit(self.high)
-        if math.isinf(self.low) or math.isinf(self.high):
-            # infinities are buckets of their own
-            number = F.when(value == F.lit(math.inf), 1).when(value == F.lit(-math.inf), -1).otherwise(0)
-        elif self.low < 0 < self.high and not (self.evenly and math.isfinite(self.high - self.low)):
-            number = F.signum(value)
-        elif not self.evenly and 0 < self.low and 2 * self.low < self.high:
-            number = F.floor((F.log2(value) - F.log2(low)) / F.lit(math.log2(self.high) - math.log2(self.low)) * buckets)
-        elif not self.evenly and self.high < 0 and self.low < 2 * self.high:
-            number = F.floor((F.log2(-low) - F.log2(-value)) / F.lit(math.log2(-self.low) - math.log2(-self.high)) * buckets)
-        else:
-            number = F.floor((value - low) / F.lit(self.high - self.low) * buckets)
-        return F.when((value >= low) & (value <= high), number.cast("int"))
+        return _bucket(value, F.lit(self.low), F.lit(self.high), F.lit(self.evenly), buckets)
+
+
+def _bucket(value: Column, low: Column, high: Column, evenly: Column, buckets: int) -> Column:
+    """Number of the bucket of a value in [low, high], low < high; null outside of the interval."""
+    inf = F.lit(math.inf)
+    logs = lambda x, a, b: F.floor((F.log2(x) - F.log2(a)) / (F.log2(b) - F.log2(a)) * buckets)
+    number = (
+        F.when((low == -inf) | (high == inf), F.when(value == inf, 1).when(value == -inf, -1).otherwise(0))  # infinities are buckets of their own
+        .when((low < 0) & (high > 0) & (~evenly | (high - low == inf)), F.signum(value))
+        .when(~evenly & (low > 0) & (high > 2 * low), logs(value, low, high))
+        .when(~evenly & (high < 0) & (low < 2 * high), -logs(-value, -high, -low))
+        .otherwise(F.floor((value - low) / (high - low) * buckets))
+    )
+    return F.when((value >= low) & (value <= high), number.cast("int"))
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], counts: Mapping[str, int] | None = None, buckets: int = BUCKETS) -> dict[str, list[float | None]]:
@@ -127,3 +129,43 @@ def _mix(low: float, high: float, share: float) -> float:
 
 def finite_or_none(value: float | None) -> float | None:
     return None if value is None or math.isnan(value) else value
+
+
+def grouped_quantiles(values: DataFrame, keys: Sequence[str], probabilities: Sequence[float], buckets: int = BUCKETS) -> DataFrame:
+    """(keys, n, quantiles) for rows (keys, v): the same search for every group of keys at once.
+
+    Groups may be any number and of any size: intervals are a table, one row for each wanted rank, and no job is one group's.
+    Groups without values and those with a null key have no row; a quantile that is not a number is null.
+    """
+    keys = list(keys)
+    values = values.select(*keys, F.col("v").cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    ends = values.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    place = [((F.col("n") - 1) * F.lit(p)) for p in probabilities]
+    lower = [F.floor(x).cast("bigint") for x in place]
+    ranks = F.array_distinct(F.array(*lower, *[F.least(x + 1, F.col("n") - 1) for x in lower]))
+    found = cut_lineage(ends.select(*keys, "n", "low", "high", F.lit(0).cast("bigint").alias("skipped"), F.lit(True).alias("evenly"), F.explode(ranks).alias("rank")))
+    sizes = found.select(*keys, "n").distinct()
+    done, searching = [], found
+    cut = ["low", "high", "skipped", "evenly"]
+    while True:
+        done.append(searching.where("low = high").select(*keys, "rank", F.col("low").alias("value")))
+        searching = searching.where("low < high")
+        if searching.isEmpty():
+            break
+        intervals = searching.groupBy(*keys, *cut).agg(F.collect_set("rank").alias("ranks"))  # at most twice the probabilities
+        inside = values.join(intervals, keys).withColumn("bucket", _bucket(F.col("v"), F.col("low"), F.col("high"), F.col("evenly"), buckets)).where("bucket IS NOT NULL")
+        counted = inside.groupBy(*keys, *cut, "ranks", "bucket").agg(F.count("v").alias("m"), F.min("v").alias("a"), F.max("v").alias("b"))
+        whole = Window.partitionBy(*keys, *cut)
+        before = F.sum("m").over(whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m") + F.col("skipped")
+        counted = counted.withColumns({"before": before, "inside": F.sum("m").over(whole)})
+        held = F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("m")))
+        following = counted.select(*keys, F.col("a").alias("low"), F.col("b").alias("high"), F.col("before").alias("skipped"), (~(F.col("evenly") & (F.col("m") > POOR * F.col("inside")))).alias("evenly"), F.explode(held).alias("rank"))
+        searching = cut_lineage(following)
+    at = reduce(DataFrame.unionByName, done).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+
+    def quantile(x: Column, low: Column) -> Column:
+        first, second = F.col("at")[low], F.col("at")[F.least(low + 1, F.col("n") - 1)]
+        mixed = F.when((x == low) | (first == second), first).otherwise(first + (second - first) * (x - low))
+        return F.when(~F.isnan(mixed), mixed)
+
+    return sizes.join(at, keys).select(*keys, "n", F.array(*[quantile(x, low) for x, low in zip(place, lower, strict=True)]).alias("quantiles"))
