@@ -276,6 +276,12 @@ class Catalog:
     def _append_rows(self, name: str, rows: list[tuple]) -> None:
         self.append(name, small_table(self.spark, rows, SCHEMAS[name]))
 
+    def append_batches(self, batches: dict[str, list[tuple]]) -> None:
+        """Rows of several tables, one write and one file for each, whatever their number; parents first."""
+        for name in SCHEMAS:
+            if name in batches:
+                self.append(name, small_table(self.spark, batches[name], SCHEMAS[name]).coalesce(1))
+
     # Entities.
 
     def register(self, name: str, original_filename: str, description: str = "", user_id: str | None = None) -> str:
@@ -305,7 +311,8 @@ class Catalog:
         row = self.table("versions").where(F.col("id") == version_id).select("storage_path").first()
         if row is None:
             raise FileNotFoundError(f"version '{version_id}' is not in the catalogue")
-        if not self._finished(row["storage_path"]):
+        path = row["storage_path"]
+        if not self._finished(path) and not self._finished(path.rsplit("/", 1)[0]):  # a batch finishes as a whole
             raise FileNotFoundError(f"snapshot '{row['storage_path']}' is missing")
         return self.spark.read.parquet(row["storage_path"])
 

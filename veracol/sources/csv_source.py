@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.casts import NUMBER
@@ -42,6 +44,32 @@ def read_csv_text(spark, path: str, multiline: bool | None = None, na_tokens=NA_
     return raw.select(*cells, F.monotonically_increasing_id().alias(ROW_ID))
 
 
+def file_path() -> Column:
+    """The path of a row's file, as file listings spell it."""
+    escaped = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.regexp_replace(F.url_decode(escaped), "^file:/+", "file:/")
+
+
+def read_csv_files(spark, paths: Sequence[str], multiline: bool | None = None, na_tokens=NA_TOKENS) -> DataFrame:
+    """``read_csv_text`` of files with one header, with each row's file as ``__path``."""
+    paths = list(paths)
+    if multiline is None:
+        multiline = has_quoted_line_breaks(spark, paths)
+    raw = spark.read.options(**_READ_OPTIONS).option("multiLine", str(multiline).lower()).csv(paths)
+    cells = [F.when(~ref(name).isin(*na_tokens), ref(name)).alias(name) for name in raw.columns]
+    return raw.select(*cells, file_path().alias("__path"), F.monotonically_increasing_id().alias(ROW_ID))
+
+
+def grouped_types(df: DataFrame) -> dict[str, dict[str, str]]:
+    """``infer_types`` of every file of ``read_csv_files``, from groupings by file."""
+    names = [name for name in df.columns if name not in (ROW_ID, "__path")]
+    types: dict[str, dict[str, str]] = {}
+    for part in chunks(names, AGGREGATES_PER_PASS // 4):
+        for row in df.groupBy("__path").agg(*_type_measures(part)).collect():
+            types.setdefault(row["__path"], {}).update(_narrowest(row, part))
+    return types
+
+
 def _as_int(column: Column) -> Column:
     return F.when(F.btrim(column).rlike(r"^[+-]?\d{1,19}$"), F.btrim(column).try_cast("bigint"))
 
@@ -63,19 +91,25 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     names = [name for name in df.columns if name != ROW_ID]
     types: dict[str, str] = {}
     for part in chunks(names, AGGREGATES_PER_PASS // 4):
-        measures = []
-        for i, name in enumerate(part):
-            column = ref(name)
-            measures += [
-                F.count(column).alias(f"n{i}"),
-                count_where(column.isNotNull() & _as_int(column).isNull()).alias(f"bigint{i}"),
-                count_where(column.isNotNull() & _as_double(column).isNull()).alias(f"double{i}"),
-                count_where(column.isNotNull() & _as_bool(column).isNull()).alias(f"boolean{i}"),
-            ]
-        row = df.agg(*measures).first()
-        for i, name in enumerate(part):
-            fitting = [kind for kind in ("bigint", "double", "boolean") if row[f"{kind}{i}"] == 0]
-            types[name] = (fitting[0] if row[f"n{i}"] else "double") if fitting else "string"
+        types |= _narrowest(df.agg(*_type_measures(part)).first(), part)
+    return types
+
+
+def _type_measures(names: Sequence[str]) -> list[Column]:
+    """For each column the number of its cells, and of those that each type cannot read."""
+    measures = []
+    for i, name in enumerate(names):
+        column = ref(name)
+        measures.append(F.count(column).alias(f"n{i}"))
+        measures += [count_where(column.isNotNull() & reader(column).isNull()).alias(f"{kind}{i}") for kind, reader in _READERS.items()]
+    return measures
+
+
+def _narrowest(row, names: Sequence[str]) -> dict[str, str]:
+    types = {}
+    for i, name in enumerate(names):
+        fitting = [kind for kind in _READERS if row[f"{kind}{i}"] == 0]
+        types[name] = (fitting[0] if row[f"n{i}"] else "double") if fitting else "string"
     return types
 
 

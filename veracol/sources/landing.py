@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.frames import small_table
 from ..functions.text import base_name, display_name, extension
+from .csv_source import file_path
 
 # Accepted types, the size limit and file signatures.
 ACCEPTED = (".csv", ".xlsx", ".xls")
@@ -31,6 +32,15 @@ def _head_of(spark, path: str) -> bytes:
     return bytes(b for b in read if b >= 0)
 
 
+def file_headers(spark, paths: list[str]) -> dict[str, str]:
+    """First line of each file, from one scan; an empty file has none."""
+    if not paths:
+        return {}
+    lines = spark.read.text(paths).select(file_path().alias("path"), "value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    return {row["path"]: row["header"] for row in first.collect()}
+
+
 def read_landing(spark, path: str, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """(path, length, head) of the files below a folder.
 

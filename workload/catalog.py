@@ -6,15 +6,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from veracol.functions.frames import small_table
 from veracol.operators.clean import CleaningRules
 from veracol.plans import catalog as L, jobs
 from veracol.plans.catalog import Catalog
+from veracol.plans.folder_ingest import ingest_folder
 from veracol.session import scratch_path
 from veracol.sources.landing import screen_files
 from veracol.sources.sinks import CSV_OPTIONS
 
-from .checks import GRADE_SQL, WEIGHTS, dimension_sql, EXACT_SQL, MISSING_SQL, CASE_SQL
-from .inputs import DIRTY, DIRTY_COLUMNS, GOV, dirty, gov
+from .checks import GRADE_SQL, WEIGHTS, dimension_sql, EXACT_SQL, MISSING_SQL, CASE_SQL, _gone
+from .inputs import DIRTY, DIRTY_COLUMNS, DIRTY_TEXTS, GOV, dirty, gov
 from .registry import query, union_all
 from .sources import LANDING_SQL, landing_files
 
@@ -149,6 +151,37 @@ def ingest_job(spark, sf_dir):
     return reduce(DataFrame.unionByName, scores).drop("weight", "weighted_score", "grade", "is_trustworthy")
 
 
+_FILES = 12
+_BY_FILE = " UNION ALL ".join(
+    [f"SELECT g, 'MISSING' AS category, count(*) FILTER (WHERE {_gone(c)}) AS n FROM d GROUP BY g" for c in DIRTY_COLUMNS]
+    + [f"SELECT g, 'DUPLICATE', sum(n - 1) FROM (SELECT g, count(*) AS n FROM d GROUP BY g, {', '.join(DIRTY_COLUMNS)}) GROUP BY g"]
+    + [f"SELECT g, 'INCONSISTENT_CATEGORY', sum(n) FROM (SELECT g, count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY g, lower(trim({c})) HAVING count(DISTINCT trim({c})) > 1) GROUP BY g" for c in DIRTY_TEXTS]
+)
+
+
+@query(
+    "l14_many_files",
+    f"{DIRTY}, d AS (SELECT *, id % {_FILES} AS g FROM dirty), n AS ({_BY_FILE}), r AS (SELECT g, CAST(count(*) AS BIGINT) AS rows FROM d GROUP BY g), "
+    f"t AS (SELECT r.g, rows, rows * {len(DIRTY_COLUMNS)} AS cells, coalesce(sum(n) FILTER (category = 'MISSING'), 0) AS missing, coalesce(sum(n) FILTER (category = 'DUPLICATE'), 0) AS copies, "
+    "coalesce(sum(n) FILTER (category = 'INCONSISTENT_CATEGORY'), 0) AS mixed FROM r LEFT JOIN n ON n.g = r.g GROUP BY ALL), "
+    "s AS (SELECT g, rows, round(CAST(greatest(0, cells - missing) AS DOUBLE) / cells * 100, 2) AS completeness, 100.0::DOUBLE AS validity, greatest(0.0, round((1.0 - CAST(copies AS DOUBLE) / rows) * 100, 2)) AS uniqueness, "
+    "greatest(0.0, round((1.0 - CAST(mixed AS DOUBLE) / cells) * 100, 2)) AS consistency FROM t) "
+    "SELECT CAST(g AS BIGINT) AS file, rows AS row_count, completeness AS completeness_score, validity AS validity_score, uniqueness AS uniqueness_score, consistency AS consistency_score, "
+    "round(round(completeness * 0.3::DOUBLE, 2) + round(validity * 0.3::DOUBLE, 2) + round(uniqueness * 0.2::DOUBLE, 2) + round(consistency * 0.2::DOUBLE, 2), 2) AS overall_score FROM s",
+)
+def ingest_many_files(spark, sf_dir):
+    """A folder of twelve files, each a dataset: read, checked and scored together, and read back from the catalogue."""
+    landing = scratch_path(spark, "landing")
+    parted = dirty(spark, sf_dir).withColumn("file", F.col("id") % _FILES)
+    parted.repartition("file").write.options(**CSV_OPTIONS).partitionBy("file").csv(landing)
+    catalog = Catalog(spark, scratch_path(spark, "catalog"))
+    results, _ = ingest_folder(catalog, landing)
+    files = small_table(spark, [(r.version.id, int(r.path.split("/file=")[1].split("/")[0])) for r in results], "version_id string, file bigint")
+    versions = catalog.table("versions").select(F.col("id").alias("version_id"), "row_count")
+    scores = [c for c in _SCORES.split(", ") if c.endswith("_score")]
+    return catalog.table("reports").join(versions, "version_id").join(files, "version_id").select("file", "row_count", *scores)
+
+
 _JOB_CTE = (
     f"{DIRTY.replace('dirty AS', 'raw AS')}, tidy AS (SELECT DISTINCT id, trim(name) AS name, trim(email) AS email, upper(segment) AS segment, balance, trim(note) AS note, trim(joined) AS joined FROM raw), "
     "fixed AS (SELECT id, name, email, segment, coalesce(balance, (SELECT quantile_cont(balance, 0.5) FROM tidy)) AS balance, note, joined FROM tidy)"
