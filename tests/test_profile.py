@@ -72,10 +72,27 @@ def test_text_dates_are_recognised(make):
 
 def test_date_range_uses_the_format_of_the_first_value(make):
     rows = [("15/01/2023",), ("14/02/2023",), ("2023-03-01",), ("02/25/2023",), ("01/02/2023",)]
-    stats = P.profile(make("d string", rows)).columns["d"]["datetime_stats"]
+    stats = P.profile(make("d string", rows), date_rule="first").columns["d"]["datetime_stats"]
     assert stats == {"min_date": "2023-01-15 00:00:00", "max_date": "2023-02-14 00:00:00"}
 
 
+def test_dates_are_judged_by_all_values(make):
+    rows = [("15/01/2023",), ("14/02/2023",), ("2023-03-01",), ("02/25/2023",), ("01/02/2021",), ("none",)]
+    column = P.profile(make("d string", rows)).columns["d"]
+    assert column["semantic_type"] == "datetime" and column["datetime_stats"] == {"min_date": "2021-01-02 00:00:00", "max_date": "2023-03-01 00:00:00"}
+    shapes = {r["shape"]: (r["n"], r["dates"]) for r in P.date_shapes(make("d string", rows), ["d"]).collect()}
+    assert shapes == {"numeric": (4, 4), "iso": (1, 1), None: (1, 0)}
+
+
+@pytest.mark.parametrize("n", [50, 500, 501, 2000])
+def test_number_of_values_does_not_change_the_type(make, n):
+    late = [("x",)] * (n // 10) + [(f"2024-01-{1 + i % 28:02d}",) for i in range(n - n // 10)]
+    df = make("d string", late)
+    assert P.semantic_types(df) == {"d": "datetime"}
+    assert P.semantic_types(df, probe="first") == {"d": "text" if n > 100 else "datetime"}  # the first 50 of 500 are no dates
+    assert P.semantic_types(make("d string", [(None,)] * 3)) == {"d": "text"}
+
+
 def test_top_values_break_ties_by_first_sight(make):
     df = make("v string", [("b",), ("a",), ("b",), ("a",), ("c",), ("e",), ("d",), ("f",)])
     assert list(P.profile(df).columns["v"]["text_stats"]["top_values"]) == ["b", "a", "c", "e", "d"]

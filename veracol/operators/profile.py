@@ -35,7 +35,7 @@ from ..sources.row_order import with_row_order
 from . import duplicates, value_counts as vc
 from .quantiles import BUCKETS, exact_quantiles
 
-# A text column is probed for dates only up to this many values, on the first PROBED of them.
+# With probe='first', a text column is probed for dates only up to this many values, on the first PROBED of them.
 DATE_PROBE_LIMIT = 500
 DATE_PROBED = 50
 DATE_SHARE = 0.8
@@ -147,10 +147,32 @@ def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     return aggregate_long(df, items)
 
 
-def datetime_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Earliest and latest date. A text column is read in the one format its first value has."""
+def date_shapes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, shape, n, dates, min_date, max_date) over all values of text columns, from one grouping.
+
+    ``shape`` is the way a value is written (null: none of the known ones), ``dates`` how many of the n values are dates.
+    Each task sends one row for each column and shape.
+    """
+    fields = field_map(df)
+    long = vc.unpivot_cells(df, [(name, cell(fields[name])) for name in columns])
+    read = long.select("column_name", dates.shape_of(text.strip(F.col("value"))).alias("shape"), dates.parse_mixed_text(F.col("value")).alias("at"))
+    return read.groupBy("column_name", "shape").agg(row_count().alias("n"), F.count("at").alias("dates"), F.min("at").alias("min_date"), F.max("at").alias("max_date"))
+
+
+def datetime_stats(df: DataFrame, columns: Sequence[str], formats: str = "all") -> DataFrame:
+    """Earliest and latest date of the columns; a text column counts every value that is a date, however it is written.
+
+    With ``formats='first'`` a text column is read in the one format its first value has, and other dates are left out.
+    """
     fields = field_map(df)
-    firsts = _first_values(df, [name for name in columns if kind(fields[name].dataType) == "text"])
+    texts = [name for name in columns if kind(fields[name].dataType) == "text"]
+    if formats == "all" and texts:
+        shapes = date_shapes(df, texts).groupBy("column_name").agg(F.min("min_date").alias("min_date"), F.max("max_date").alias("max_date"))
+        listed = small_table(df.sparkSession, [(name,) for name in texts], "column_name string")
+        found = listed.join(shapes, "column_name", "left")
+        rest = [name for name in columns if name not in texts]
+        return found.unionByName(datetime_stats(df, rest)) if rest else found
+    firsts = _first_values(df, texts)
     items = []
     for name in columns:
         value = cell(fields[name])
@@ -194,21 +216,31 @@ def missing_ranking(df: DataFrame) -> DataFrame:
     return column_nulls(df).where("null_count > 0").orderBy(F.desc("null_count"), "column_position")
 
 
-def semantic_types(df: DataFrame, order_by: str | None = None) -> dict[str, str]:
+def semantic_types(df: DataFrame, order_by: str | None = None, probe: str = "all") -> dict[str, str]:
     """Numeric, boolean, datetime or text per column.
 
-    A text column counts as datetime when it has 1 to 500 values and at least 80 % of its first
-    50 parse as dates. Only columns that small are looked at, so the probe stays bounded.
+    A text column counts as datetime when at least 80 % of its values are dates. With ``probe='first'`` it must have
+    1 to 500 values, and only the first 50 of them are looked at.
     """
     types = {field.name: kind(field.dataType) for field in data_fields(df)}
     names = [name for name, family in types.items() if family == "text"]
-    if names:
+    if names and probe == "all":
+        types.update(_date_columns(df, names))
+    elif names:
         fields = field_map(df)
         filled = df.agg(*[F.count(cell(fields[name])).alias(f"n{i}") for i, name in enumerate(names)]).first()
         types.update(_probe_dates(df, [name for i, name in enumerate(names) if 1 <= filled[i] <= DATE_PROBE_LIMIT], order_by))
     return types
 
 
+def _date_columns(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """The text columns that hold dates, judged by all values."""
+    if not names:
+        return {}
+    shares = date_shapes(df, names).groupBy("column_name").agg((F.sum("dates") / F.sum("n")).alias("share"))
+    return {row["column_name"]: "datetime" for row in shares.where(F.col("share") >= DATE_SHARE).collect()}
+
+
 def _probe_dates(df: DataFrame, names: Sequence[str], order_by: str | None) -> dict[str, str]:
     if not names:
         return {}
@@ -352,12 +384,14 @@ def profile(
     grouping: str = "exact",
     approximate: bool = False,
     duplicate_rows: int | None = None,
+    date_rule: str = "all",
 ) -> TableProfile:
     """Profile a table. What comes back to the driver is a few rows per column.
 
     ``approximate`` estimates the distinct counts of numeric and date columns from sketches, which
     spares them a shuffle. ``grouping='fingerprint'`` groups rows and texts by 128-bit digests instead
-    of shuffling them. ``duplicate_rows`` hands in a count that is already known.
+    of shuffling them. ``duplicate_rows`` hands in a count that is already known. ``date_rule='first'`` judges text dates
+    by the first values of small columns and the format of the first one, instead of by all values.
     """
     fields = data_fields(df)
     names = [field.name for field in fields]
@@ -368,13 +402,14 @@ def profile(
     nulls = {name: seen[name]["nulls"] for name in names}
     filled = {name: rows - nulls[name] for name in names}
     types = {field.name: kind(field.dataType) for field in fields}
-    probed = [name for name in names if types[name] == "text" and 1 <= filled[name] <= DATE_PROBE_LIMIT]
+    textual = [name for name in names if types[name] == "text" and filled[name]]
+    probed = [name for name in textual if filled[name] <= DATE_PROBE_LIMIT]
     numeric = [name for name in names if types[name] == "numeric" and filled[name]]
     worded = [name for name in names if types[name] in ("text", "boolean")]
     others = [name for name in names if name not in worded]
     dates_found, quartiles, summaries, counted, copies = run_together(
         df.sparkSession,
-        lambda: _probe_dates(df, probed, order_by),
+        lambda: _date_columns(df, textual) if date_rule == "all" else _probe_dates(df, probed, order_by),
         lambda: exact_quantiles(df, numeric, [0.25, 0.5, 0.75], filled),
         lambda: value_summary(df, worded, top_n, order_by, grouping).collect() if rows and worded else [],
         lambda: vc.distinct_counts(df, others, approximate).collect() if rows and others else [],
@@ -391,7 +426,7 @@ def profile(
             frequent[row["column_name"]][texts.get((row["column_name"], row["value"]), row["value"])] = row["n"]
     calendar = {}
     if dates_found:
-        spans = datetime_stats(df, list(dates_found)).select("column_name", *[F.col(c).cast("string").alias(c) for c in ("min_date", "max_date")])
+        spans = datetime_stats(df, list(dates_found), date_rule).select("column_name", *[F.col(c).cast("string").alias(c) for c in ("min_date", "max_date")])
         calendar = _by_column(spans)
 
     columns: dict[str, dict[str, Any]] = {}

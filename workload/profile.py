@@ -84,7 +84,23 @@ _SUPPLIER_SQL = f"WITH s AS ({_SUPPLIER_DATES.replace('{supplier}', 'supplier')}
     ),
 )
 def semantic_types(spark, sf_dir):
-    types = P.semantic_types(derive(spark, sf_dir, _SUPPLIER_DATES, "supplier"))
+    """The rule that looks at the first values of small columns only."""
+    types = P.semantic_types(derive(spark, sf_dir, _SUPPLIER_DATES, "supplier"), probe="first")
+    return small_table(spark, list(types.items()), "column_name string, semantic_type string")
+
+
+_READ = "coalesce(try_strptime(joined, '%Y-%m-%d'), try_strptime(joined, '%m/%d/%Y'), try_strptime(joined, '%B %d, %Y'))"
+
+
+@query(
+    "p07_semantic_types_all",
+    f"{DIRTY}, x AS ({_SUPPLIER_SQL.removeprefix('WITH s AS (').removesuffix(')')}) "
+    + union_all([f"SELECT '{c}' AS column_name, '{t}' AS semantic_type" for c, t in (("s_suppkey", "numeric"), ("s_name", "text"), ("s_acctbal", "numeric"), ("worded", "datetime"), ("slashed", "datetime"), ("overdrawn", "boolean"))])
+    + f" UNION ALL SELECT 'joined', CASE WHEN count({_READ}) >= 0.8 * count(joined) THEN 'datetime' ELSE 'text' END FROM dirty",
+)
+def semantic_types_all(spark, sf_dir):
+    """Types by all values, at any size."""
+    types = P.semantic_types(derive(spark, sf_dir, _SUPPLIER_DATES, "supplier")) | P.semantic_types(dirty(spark, sf_dir).select("joined"))
     return small_table(spark, list(types.items()), "column_name string, semantic_type string")
 
 
@@ -129,6 +145,22 @@ def datetime_stats_text(spark, sf_dir):
     return _shown_dates(P.datetime_stats(derive(spark, sf_dir, _SUPPLIER_DATES, "supplier"), ["worded", "slashed"]))
 
 
+@query(
+    "p09_date_shapes",
+    f"{DIRTY} SELECT CASE WHEN regexp_full_match(joined, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') THEN 'iso' WHEN regexp_full_match(joined, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') THEN 'numeric' WHEN joined LIKE 'September %' THEN 'month_first' END AS shape, "
+    f"count(*) AS n, count({_READ}) AS dates, strftime(min({_READ}), '%Y-%m-%d') AS min_date, strftime(max({_READ}), '%Y-%m-%d') AS max_date FROM dirty WHERE joined IS NOT NULL GROUP BY 1",
+)
+def date_shapes(spark, sf_dir):
+    """How the values of a text column are written, how many are dates, and from when to when."""
+    shapes = P.date_shapes(dirty(spark, sf_dir), ["joined"]).drop("column_name")
+    return shapes.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("min_date", "max_date")})
+
+
+@query("p09_datetime_stats_mixed", f"{DIRTY}, t AS (SELECT {_READ} AS joined FROM dirty) {_date_sql('joined', 't')}")
+def datetime_stats_mixed(spark, sf_dir):
+    return _shown_dates(P.datetime_stats(dirty(spark, sf_dir), ["joined"]))
+
+
 @query(
     "p10_text_stats",
     union_all(
