@@ -29,6 +29,43 @@ def csv_scan(spark, sf_dir):
     return csv_source.read_csv(spark, _landed_csv(spark, sf_dir), keep_order=False)
 
 
+_LINED = """SELECT id, CASE id % 7 WHEN 0 THEN 'two' || chr(10) || 'lines of "' || name || '"' WHEN 3 THEN chr(10) || chr(10) ELSE name END AS name,
+  CASE WHEN id % 5 = 0 THEN 'a,' || chr(10) || 'b' ELSE note END AS note FROM dirty"""
+
+
+def _landed_records(spark, sf_dir) -> str:
+    """Files whose records span lines, one for each remainder of the id by 3, in the order of the ids."""
+    path = scratch_path(spark, "lined-csv")
+    dirty(spark, sf_dir).createOrReplaceTempView("dirty_lined")
+    rows = spark.sql(_LINED.replace("chr(10)", "char(10)").replace("FROM dirty", "FROM dirty_lined")).distinct()
+    rows.withColumn("part", F.col("id") % 3).repartition("part").sortWithinPartitions("part", "id").write.partitionBy("part").options(**sinks.CSV_OPTIONS).csv(path)
+    return path
+
+
+@query("s01_multiline", f"{DIRTY} SELECT DISTINCT id, name, note FROM ({_LINED})")
+def csv_multiline(spark, sf_dir):
+    """Records with line breaks inside of quotes, put together from the lines of many tasks."""
+    return csv_source.read_csv(spark, f"{_landed_records(spark, sf_dir)}/*", keep_order=False)
+
+
+@query("s01_many_files_order", f"{DIRTY} SELECT id, row_number() OVER (ORDER BY id % 3, id) AS position FROM (SELECT DISTINCT id, name, note FROM ({_LINED}))")
+def csv_many_files_order(spark, sf_dir):
+    """Rows come in the order of the files' names and of the lines in each."""
+    rows = csv_source.read_csv(spark, f"{_landed_records(spark, sf_dir)}/*")
+    numbered = Window.orderBy("__rid")  # a report on a small table; row ids themselves are not numbered through
+    return rows.select("id", F.row_number().over(numbered).cast("bigint").alias("position"))
+
+
+@query("s01_malformed_rows", "SELECT count(*) AS rows, count(*) FILTER (WHERE o_orderkey % 97 = 0) AS surplus_rows FROM orders")
+def csv_malformed_rows(spark, sf_dir):
+    """Rows with more cells than the header are counted; a typed scan refuses them."""
+    path = scratch_path(spark, "surplus-csv")
+    cells = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.lit("x"), F.when(F.col("o_orderkey") % 97 == 0, "more"))
+    spark.read.parquet(f"{sf_dir}/orders.parquet").select(cells.alias("key,word")).write.options(header="true", quote="", escapeQuotes="false", delimiter="\t").csv(path)
+    counted = csv_source.malformed_rows(spark, path)
+    return counted.agg(F.sum("rows").alias("rows"), F.sum("surplus_rows").alias("surplus_rows"))
+
+
 @query("s02_version_scan", f"{DIRTY} SELECT {ALL} FROM dirty")
 def version_scan(spark, sf_dir):
     catalog = Catalog(spark, scratch_path(spark, "catalog"))
