@@ -4,11 +4,10 @@ import public_tokenizers
 import corpus_pipeline
 from veracol.llm.decontamination import normalised
 from veracol.llm.piece_codec import Codec
-from veracol.llm.simhash_dedup import fingerprint
 from veracol.llm.toxicity import fit, score
 
+from test_jaccard import brute_kept
 from test_secrets import brute as brute_secrets
-from test_simhash import brute_components
 
 DIR = "/root/testdata/sf0.01"
 KINDS = ("assign", "access", "hex")
@@ -18,9 +17,7 @@ def test_like_plain_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
     toxic = {r.doc_id for r in score(docs, fit(docs, spark.read.parquet(f"{DIR}/labels.parquet"))).where("predicted = 1").collect()}
-    ids = sorted(set(rows) - toxic)
-    component = dict(zip(ids, brute_components(ids, [fingerprint(rows[i].text.encode()) for i in ids]), strict=True))
-    ids = [i for i in ids if component[i] == i]
+    ids = brute_kept([(i, rows[i].text) for i in sorted(set(rows) - toxic)])
     items = [normalised(r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     leaked = {i for i in ids if any(item in normalised(rows[i].text) for item in items)}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, DIR).collect()}

@@ -105,3 +105,26 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64, copy=False).view(np.int64)
+
+
+class Joined:
+    """Which items this task has already joined, so that many shared keys give one link."""
+
+    def __init__(self, most: int = 200_000):
+        self.parent: dict[int, int] = {}
+        self.most = most
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while (p := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(p, p)
+        return x
+
+    def new(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        if len(self.parent) > self.most:
+            self.parent.clear()
+        self.parent[b] = a
+        return True

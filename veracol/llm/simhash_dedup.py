@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .jaccard_dedup import drop_near_duplicates  # noqa: F401
-from .shared import arrow_rows, connected, cut, signed, sorted_groups, text_bytes
+from .shared import Joined, arrow_rows, connected, cut, signed, sorted_groups, text_bytes
 
 MAX_BITS = 4
 WORDS = 4
@@ -175,34 +175,11 @@ def _forest(members: np.ndarray, max_bits: int) -> tuple[list, list]:
     return left, right
 
 
-class _Joined:
-    """Which fingerprints this task has already joined, so that many shared keys give one link."""
-
-    def __init__(self, most: int = 200_000):
-        self.parent: dict[int, int] = {}
-        self.most = most
-
-    def find(self, x: int) -> int:
-        parent = self.parent
-        while (p := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(p, p)
-        return x
-
-    def new(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        if len(self.parent) > self.most:
-            self.parent.clear()
-        self.parent[b] = a
-        return True
-
-
 def _linker(max_bits: int, hot: int | None):
     """Sorted (key, fp) rows to links; members of buckets beyond ``hot`` come back with a = b and their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined = _Joined()
+        joined = Joined()
         held_key, held, streaming = None, [], False
 
         def links(left, right):
