@@ -21,9 +21,10 @@ SELECT conv_id, turn, role, CASE
 FROM b
 """
 
-# A replica with damage: some pages have another first letter, some are cut short, some are lost.
+# A replica with damage: some pages have another first letter, some are cut short, some are lost, and some records are in it alone.
 DAMAGED = "CASE WHEN page_id % 97 = 13 THEN '~' || substr(html, 2) WHEN page_id % 307 = 7 THEN substr(html, 1, CAST(floor(length(html) / 2) AS INT)) ELSE html END"
 LOST = "page_id % 211 = 5"
+ADDED, ADDED_FROM = "page_id % 389 = 3", 1_000_000_000_000
 
 # Unsigned crc32 of a decimal number: its bytes enter the register, eight shifts after each.
 CRC32 = """xor(4294967295, list_reduce(flatten(list_prepend([4294967295], list_transform(string_split(CAST({} AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
@@ -51,14 +52,16 @@ SELECT m.conv_id, m.turn, m.role, coalesce(r.thread, m.turn) AS thread,
 FROM m LEFT JOIN f USING (conv_id, turn) LEFT JOIN p USING (conv_id, turn) LEFT JOIN r USING (conv_id, turn)
 """,
     "op6_warc_fixity": f"""
-WITH d AS (SELECT page_id, url, html, {DAMAGED} AS copy FROM pages),
-s AS (SELECT page_id, page_id // 1024 AS archive, {LOST} AS lost,
+WITH d AS (SELECT page_id, url, html, {DAMAGED} AS copy, {LOST} AS lost, false AS added FROM pages
+  UNION ALL SELECT page_id + {ADDED_FROM}, url, html, html, false, true FROM pages WHERE {ADDED}),
+s AS (SELECT page_id, page_id // 1024 AS archive, page_id % 1024 AS place, lost, added,
   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' AS head,
   html, copy, chr(13) || chr(10) || chr(13) || chr(10) AS gap FROM d),
 w AS (SELECT *, head || strlen(html) || gap || html || gap AS record, head || strlen(copy) || gap || copy || gap AS other FROM s),
-x AS (SELECT *, row_number() OVER o - 1 AS place, CAST(sum(strlen(record)) OVER o AS BIGINT) AS stop FROM w WINDOW o AS (PARTITION BY archive ORDER BY page_id))
-SELECT page_id, archive, place, stop - strlen(record) AS start, stop, CASE WHEN lost THEN 'missing' ELSE 'corrupt' END AS status, sha256(record) AS expected, CASE WHEN NOT lost THEN sha256(other) END AS found
-FROM x WHERE lost OR record <> other
+x AS (SELECT *, CAST(sum(strlen(record)) OVER o AS BIGINT) AS stop FROM w WINDOW o AS (PARTITION BY archive ORDER BY page_id))
+SELECT page_id, archive, place, stop - strlen(record) AS start, stop, CASE WHEN added THEN 'extra' WHEN lost THEN 'missing' ELSE 'corrupt' END AS status,
+  CASE WHEN NOT added THEN sha256(record) END AS expected, CASE WHEN NOT lost THEN sha256(other) END AS found
+FROM x WHERE added OR lost OR record <> other
 """,
     "op3_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings),
@@ -182,15 +185,17 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def damaged_replica(pages: DataFrame) -> DataFrame:
+    """Pages as another store might hold them: some changed, some lost, and some that only it has."""
+    kept = pages.where(f"({LOST}) IS NOT TRUE").select("page_id", "url", F.expr(DAMAGED).alias("html"))
+    return kept.unionByName(pages.where(ADDED).select((F.col("page_id") + ADDED_FROM).alias("page_id"), "url", "html"))
+
+
 @_query
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records that a damaged replica of all pages' archives has lost or changed."""
+    """The records that a damaged replica of all pages' archives has lost, changed or more; each replica is laid out by itself."""
     pages = table(spark, sf_dir, "pages")
-    expected = cut(warc_fixity.lay_out(pages))
-    copies = pages.where(f"NOT ({LOST})").select("page_id", "url", F.expr(DAMAGED).alias("html"))
-    copies = copies.select("page_id", F.sha2(warc_fixity.record_bytes(), 256).alias("digest"))
-    found = expected.drop("digest").join(copies, "page_id")
-    return warc_fixity.audit(expected, found).join(expected.select("archive", "place", "page_id"), ["archive", "place"])
+    return warc_fixity.audit(warc_fixity.lay_out(pages), warc_fixity.lay_out(damaged_replica(pages)))
 
 
 @_query
