@@ -52,6 +52,7 @@ FENCE = 1.5
 Z_LIMIT = 3.0
 # Allowed-value lists up to this length become an IN set; longer ones a join.
 INLINE_SET = 1_000
+MOST_SPELLINGS = 100
 
 
 @dataclass
@@ -256,11 +257,12 @@ def case_variant_counts(df: DataFrame, columns: Sequence[str] | None = None, ord
 
 
 def case_variant_report(
-    df: DataFrame, columns: Sequence[str], limit: int = 5, order_by: str | None = None, grouping: str = "exact"
+    df: DataFrame, columns: Sequence[str], limit: int = 5, order_by: str | None = None, grouping: str = "exact", most_spellings: int = MOST_SPELLINGS
 ) -> dict[str, tuple[int, list[str]]]:
     """(affected rows, first groups as ``{A, a}``) per column that has variants.
 
-    Spellings and groups come in first-seen order. The variant groups are stored once, so the value
+    Spellings and groups come in first-seen order. A group shows its first ``most_spellings``, and how many more there are
+    as ``{A, a, ... 3 more}``; each task sends no more than that, and so does the cluster to the driver. The variant groups are stored once, so the value
     counts are shuffled once; the spellings of the at most ``limit`` shown groups per column come
     from a scan that keeps only their values.
     """
@@ -269,17 +271,22 @@ def case_variant_report(
     if not totals:
         return {}
     first = Window.partitionBy("column_name").orderBy("first_seen", "folded")
-    chosen = groups.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit).select("column_name", "folded", "place").collect()
+    chosen = groups.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit).select("column_name", "folded", "place", "spellings").collect()
     fields, varied = field_map(df), [row["column_name"] for row in totals]
     cells = vc.unpivot_cells(with_row_order(df, order_by), [(name, text.strip(cell(fields[name]))) for name in varied], [ROW_ID])
-    listed = F.broadcast(small_table(df.sparkSession, [tuple(row) for row in chosen], "column_name string, folded string, place int"))
+    listed = F.broadcast(small_table(df.sparkSession, [tuple(row) for row in chosen], "column_name string, folded string, place int, spellings bigint"))
     folded = F.md5(F.lower("value")) if grouping == "fingerprint" else F.lower("value")
     spelled = cells.withColumn("folded", folded).join(listed, ["column_name", "folded"])
-    spellings = spelled.groupBy("column_name", "place", "value").agg(F.min(ROW_ID).alias("seen")).collect()
-    shown: dict[str, dict[int, list[str]]] = {name: {} for name in varied}
-    for row in sorted(spellings, key=lambda row: (row["place"], row["seen"], row["value"])):
-        shown[row["column_name"]].setdefault(row["place"], []).append(row["value"])
-    return {row["column_name"]: (row["affected_count"], ["{" + ", ".join(values) + "}" for values in shown[row["column_name"]].values()]) for row in totals}
+    seen = spelled.groupBy("column_name", "place", "spellings", "value").agg(F.min(ROW_ID).alias("seen"))
+    earliest = Window.partitionBy("column_name", "place").orderBy("seen", "value")
+    shown = seen.withColumn("nth", F.row_number().over(earliest)).where(F.col("nth") <= most_spellings).orderBy("column_name", "place", "nth").collect()
+    listed_values: dict[str, dict[int, list[str]]] = {name: {} for name in varied}
+    for row in shown:
+        values = listed_values[row["column_name"]].setdefault(row["place"], [])
+        values.append(row["value"])
+        if row["nth"] == most_spellings < row["spellings"]:
+            values.append(f"... {row['spellings'] - most_spellings} more")
+    return {row["column_name"]: (row["affected_count"], ["{" + ", ".join(values) + "}" for values in listed_values[row["column_name"]].values()]) for row in totals}
 
 
 def unlisted_counts(df: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
