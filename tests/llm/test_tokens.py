@@ -140,3 +140,14 @@ def test_marks_that_compose_in_lower_case_only():
     tokenizer = Tokenizer.from_file(WORDS)
     got = [np.frombuffer(ids, "<u2").tolist() for ids in WordCache(WORDS, "H").encode([t.encode() for t in texts])]
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_codec_beside_columns_of_its_own_names(spark, tmp_path):
+    """Given columns stay as they are; new ones move aside, and the rows can be written."""
+    docs = spark.createDataFrame([(1, "a cat", "mine", 7, True), (2, None, None, None, None)], "doc_id bigint, text string, IDS string, n_pieces int, _n_pieces boolean")
+    out = encode_documents(docs, PIECES, docs.columns)
+    assert out.columns == [*docs.columns, "_ids", "__n_pieces", "ids_crc32", "same_text"]
+    out.write.parquet(f"{tmp_path}/out")
+    rows = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert (rows[1]["IDS"], rows[1]["n_pieces"], rows[1]["_n_pieces"], rows[1]["same_text"]) == ("mine", 7, True, True)
+    assert len(rows[1]["_ids"]) == rows[1]["__n_pieces"] > 0 and rows[2]["_ids"] == [] and rows[2]["IDS"] is None

@@ -200,8 +200,21 @@ def codec(path: str) -> Codec:
 _OUT = pa.schema([("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("same_text", pa.bool_())])
 
 
+def _free_names(taken: list[str]) -> list[str]:
+    given, names = {name.lower() for name in taken}, []
+    for name in _OUT.names:
+        while name in given:
+            name = f"_{name}"
+        given.add(name)
+        names.append(name)
+    return names
+
+
 def encode_documents(docs: DataFrame, model: str, carried: list[str], text: str = "text") -> DataFrame:
-    """The carried columns with ``ids``, their number and crc32 (as little-endian 32-bit), and whether they decode to the text."""
+    """The carried columns with ``ids``, their number and crc32 (as little-endian 32-bit), and whether they decode to the text.
+
+    A name that a carried column already has, in whatever case, gets underscores in front here: ``_ids`` beside a given ``ids``.
+    """
     fields = [f for name in carried for f in docs.schema.fields if f.name == name]
     names = [f"c{i}" for i in range(len(fields))]
 
@@ -228,4 +241,4 @@ def encode_documents(docs: DataFrame, model: str, carried: list[str], text: str
     source = docs.select(*[F.col(f"`{f.name}`").alias(n) for f, n in zip(fields, names, strict=True)], text_bytes(text).alias("data"))
     types = ", ".join(f"{n} {f.dataType.simpleString()}" for f, n in zip(fields, names, strict=True))
     out = source.mapInArrow(run, f"{types + ', ' if types else ''}ids array<int>, n_pieces bigint, ids_crc32 bigint, same_text boolean")
-    return out.toDF(*carried, *_OUT.names)
+    return out.toDF(*carried, *_free_names(carried))
