@@ -55,15 +55,15 @@ def fingerprint(data: bytes, words: int = WORDS, seed: int = SEED) -> int:
     joined = b" ".join(tokens)
     n, hash_of = len(tokens), xxhash.xxh64_intdigest
     if n <= words:
-        return _majority([hash_of(joined, seed)])
+        return majority([hash_of(joined, seed)])
     lengths = np.fromiter(map(len, tokens), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: n - words + 1].tolist()
     ends = ends[words - 1 :].tolist()
-    return _majority([hash_of(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)])
+    return majority([hash_of(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)])
 
 
-def _majority(hashes: list[int]) -> int:
+def majority(hashes: list[int] | np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = np.array(hashes[at : at + _CHUNK], dtype="<u8").view(np.uint8).reshape(-1, 8)
