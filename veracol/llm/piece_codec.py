@@ -8,9 +8,9 @@ before it are final.
 
 A character that no piece covers costs the least score less 10 and becomes byte pieces. As in the file's
 normaliser a blank becomes the piece mark and one is put in front. Texts hold the mark itself rarely; it
-decodes to a blank. Where no piece has a mark after another character, or none holds some
-control character, all paths converge there by the vocabulary alone; such stretches are looked up once and kept
-in a bounded cache. Files whose ids were made by merges (as the 32k one) give other ids with the
+decodes to a blank. Where no piece has a mark after another character, none holds some ASCII
+character together with others, or none holds the two characters on either side next to each other, all paths converge
+by the vocabulary alone; the stretches between such places are looked up once and kept in a bounded cache. Files whose ids were made by merges (as the 32k one) give other ids with the
 library's own merge encoder; sums are compared with the library's search over the same pieces in the tests.
 
 Null and empty texts have no pieces. Repeated rows and null ids each give their row.
@@ -23,7 +23,9 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from math import inf
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from .shared import text_bytes
 MARK = "▁"
 CHECK_EVERY = 32
 _CACHED = 300_000
+_SHORT = 64
 _ARROW_IDS = 4 << 20
 
 
@@ -67,8 +70,9 @@ class Vocabulary:
                 level = level.setdefault(c, [{}, 0.0, -1])[0]
             level.setdefault(piece[-1], [{}, 0.0, -1])[1:] = score, number
         self.splits_at_marks = not any(MARK in p.lstrip(MARK) for p in self.pieces)
-        used = set("".join(self.pieces))
-        self.lone_controls = [c for c in map(chr, range(32)) if c not in used]
+        used = set("".join(p for p in self.pieces if len(p) > 1))
+        self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.lone = [c for c in map(chr, range(128)) if c not in used]  # no piece has them beside another character
 
 
 class StreamingViterbi:
@@ -92,8 +96,17 @@ class StreamingViterbi:
         back += [(0, -1)] * (n + 1 - len(back))
         stop = n if final else n - longest + 1
         for start in range(self.done, stop):
-            base, level, end = best[start], tree, start
-            for c in text[start : start + longest]:
+            base, end = best[start], start + 1
+            step = tree.get(text[start])
+            if step is None or step[2] < 0:  # a character that is no piece by itself
+                if base + unknown > best[end]:
+                    best[end], back[end] = base + unknown, (start, -1)
+                if step is None:
+                    continue
+            elif base + step[1] > best[end]:
+                best[end], back[end] = base + step[1], (start, step[2])
+            level = step[0]
+            for c in text[end : start + longest]:
                 step = level.get(c)
                 if step is None:
                     break
@@ -101,10 +114,6 @@ class StreamingViterbi:
                 end += 1
                 if number >= 0 and base + score > best[end]:
                     best[end], back[end] = base + score, (start, number)
-            # a character that is no piece by itself
-            c = tree.get(text[start])
-            if (c is None or c[2] < 0) and base + unknown > best[start + 1]:
-                best[start + 1], back[start + 1] = base + unknown, (start, -1)
         self.done = max(self.done, stop)
 
     def _converged(self) -> int:
@@ -121,7 +130,10 @@ class StreamingViterbi:
         at = boundary
         while at > 0:
             start, number = self.back[at]
-            ids += [number] if number >= 0 else [self.vocabulary.bytes[b] for b in reversed(self.text[start:at].encode("utf-8", "surrogatepass"))]
+            if number >= 0:
+                ids.append(number)
+            else:
+                ids += [self.vocabulary.bytes[b] for b in reversed(self.text[start:at].encode("utf-8", "surrogatepass"))]
             at = start
         self.widest = max(self.widest, len(self.text))
         self.commits += 1
@@ -144,9 +156,9 @@ class StreamingViterbi:
             if boundary:
                 yield from self._commit(boundary)
 
-    def finish(self) -> Iterator[int]:
+    def finish(self) -> list[int]:
         self._extend(final=True)
-        yield from self._commit(len(self.text))
+        return self._commit(len(self.text))
 
 
 class Codec:
@@ -154,41 +166,44 @@ class Codec:
 
     def __init__(self, path: str):
         self.vocabulary = v = Vocabulary(path)
-        control = "".join(map(re.escape, v.lone_controls))
-        self.parts = re.compile(rf"[{control}]|{MARK}*[^{MARK}{control}]+|{MARK}+") if v.splits_at_marks and control else re.compile(r"(?s).+")
-        self.known: dict[str, array] = {}
-
-    def _encode_part(self, part: str, search: StreamingViterbi) -> array:
+        lone = "".join(map(re.escape, v.lone))
+        self.parts = re.compile(rf"[{lone}]+|{MARK}*[^{MARK}{lone}]+|{MARK}+") if v.splits_at_marks and lone else re.compile(r"(?s).+")
+        self.raw = [piece if isinstance(piece, bytes) else piece.encode("utf-8", "surrogatepass") for piece in v.texts]
+        self.known: dict[str, bytes] = {}
+
+    def _encode_part(self, part: str, search: StreamingViterbi) -> bytes:
+        if len(part) <= _SHORT:
+            joined = list(map(self.vocabulary.pairs.__contains__, map(add, part, part[1:])))
+            if not all(joined):  # no piece crosses those places
+                known, places = self.known, [0, *(at for at, inside in enumerate(joined, 1) if not inside), len(part)]
+                pieces = [part[a:b] for a, b in pairwise(places)]
+                for piece in pieces:
+                    if piece not in known:
+                        known[piece] = self._encode_part(piece, search)
+                return b"".join(map(known.__getitem__, pieces))
         ids = array("i", search.feed(part))
         ids.extend(search.finish())
-        if len(part) <= 64:
-            if len(self.known) > _CACHED:
-                self.known.clear()
-            self.known[part] = ids
-        return ids
+        return ids.tobytes()
 
     def encode(self, text: str) -> array:
         ids, known = array("i"), self.known
         if text:
             search = StreamingViterbi(self.vocabulary)  # empty again after every finish()
-            for part in self.parts.findall(MARK + text.replace(" ", MARK)):
-                found = known.get(part)
-                ids += self._encode_part(part, search) if found is None else found
+            parts = self.parts.findall(MARK + text.replace(" ", MARK))
+            new = set(parts).difference(known)
+            for part in new:
+                known[part] = self._encode_part(part, search)
+            ids.frombytes(b"".join(map(known.__getitem__, parts)))
+            for part in new:
+                if len(part) > _SHORT:
+                    del known[part]
+            if len(known) > _CACHED:
+                known.clear()
         return ids
 
     def decode(self, ids) -> str:
-        texts, out, raw = self.vocabulary.texts, [], bytearray()
-        for i in ids:
-            piece = texts[i]
-            if isinstance(piece, bytes):
-                raw += piece
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(piece)
-        out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        # a piece that is no byte starts with a whole character, so bytes before it end there
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
