@@ -8,6 +8,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from veracol.llm import token_files
 from veracol.llm.piece_codec import MARK, Codec, StreamingViterbi, Vocabulary, encode_documents
 from veracol.llm.token_files import SequenceFile, WordCache, file_bytes, round_trip
 
@@ -151,3 +152,65 @@ def test_codec_beside_columns_of_its_own_names(spark, tmp_path):
     rows = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert (rows[1]["IDS"], rows[1]["n_pieces"], rows[1]["_n_pieces"], rows[1]["same_text"]) == ("mine", 7, True, True)
     assert len(rows[1]["_ids"]) == rows[1]["__n_pieces"] > 0 and rows[2]["_ids"] == [] and rows[2]["IDS"] is None
+
+
+def _odd_texts(n, seed):
+    """Texts of letters, digits, marks and blanks of several scripts, most of them Latin-1, put together at random."""
+    rng = random.Random(seed)
+    latin = ["a", "B", "th", "É", "é", "ñ", "ß", "×", "÷", "º", "²", "µ", "7", "42", "'s", "'", "'ll", ".", ",", "...", "$$$", "#", "%", "-", "_", "|", "<", ">", "<|", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u0085", "\x0b", "\x00"]
+    wide = [*latin, "\u0338", "\u0301", "\u030c", "Σ", "İ", "漢", "🙂", "ﬁ", "<|endoftext|>", "\u2028"]
+    return ["".join(rng.choices(latin if i % 3 else wide, k=rng.randrange(40))) for i in range(n)]
+
+
+@pytest.mark.parametrize("cached", [400_000, 50])
+def test_word_cache_on_odd_texts(monkeypatch, cached):
+    monkeypatch.setattr(token_files, "_CACHED", cached)
+    texts, tokenizer, cache = _odd_texts(3000, 4), Tokenizer.from_file(WORDS), WordCache(WORDS, "H")
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        got = [np.frombuffer(ids, "<u2").tolist() for ids in cache.encode([t.encode() for t in part])]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_word_cache_encodes_a_word_once():
+    """Case, and marks at the end of a word, make no new words for the tokenizer."""
+    cache, asked = WordCache(WORDS, "H"), []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, words, **options):
+            asked.extend(words)
+            return self.tokenizer.encode_batch_fast(words, **options)
+
+    cache.tokenizer = Counted(cache.tokenizer)
+    list(cache.encode(["Canción canción, CANCIÓN. canción$$$ Word word, WORD$$$ word...".encode()]))
+    assert sorted(asked) == sorted(["canción", "word", ",", ".", "$$$", "..."])
+
+
+def test_places_that_no_piece_crosses():
+    """Cut parts and whole ones give the ids of one search over the text."""
+    codec = Codec(PIECES)
+    v = codec.vocabulary
+    assert any("s%" == p[i : i + 2] for p in v.pieces for i in range(len(p))) == ("s%" in v.pairs)
+    for text in [*_odd_texts(600, 8), "12 345 thing%%% ABC Éan x9y", "ñas%%% er### " * 5]:
+        plain = MARK + text.replace(" ", MARK)
+        search = StreamingViterbi(v)
+        assert list(codec.encode(text)) == ([*search.feed(plain), *search.finish()] if text else [])
+        assert codec.decode(codec.encode(text)) == text
+    searched = []
+
+    class Counted(StreamingViterbi):
+        def feed(self, part):
+            searched.append(part)
+            return super().feed(part)
+
+    codec._encode_part("thing%%%", Counted(v))
+    assert searched and max(map(len, searched)) < len("thing%%%")
+
+
+def test_bytes_that_are_no_characters_decode_as_before():
+    codec = Codec(PIECES)
+    b, (letter,) = codec.vocabulary.bytes, [i for p, (_, i) in codec.vocabulary.pieces.items() if p == "é"]
+    assert codec.decode([b[0xE6], b[0xBC], letter, b[0xFF], b[0xE6], b[0xBC], b[0xA2]]) == "\ufffdé\ufffd漢"

@@ -23,11 +23,12 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.ipc
 from pyspark import TaskContext
@@ -41,40 +42,77 @@ SEQUENCE = 2048
 FILE_TOKENS = 1 << 23
 SEQUENCES_A_BATCH = 256
 _CACHED = 400_000
-_LAST_MARK = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=\s|$)")
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_WORD_END = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")  # a letter or digit of ASCII or Latin-1
 
 
 class WordCache:
     """Ids of texts from those of their parts between ASCII blanks.
 
-    Only for tokenizers that drop white space and split at it, whatever stands around: their ids of a
-    text are those of its parts in a row, whatever the case of parts that are ASCII throughout. Parts not seen lately are encoded together, and the cache is
-    emptied between batches when it is full, so it holds _CACHED parts and those of one batch at most.
+    Only for tokenizers that drop white space and split at it, whatever stands around, and part letters and digits from marks: their ids of a
+    text are those of its parts in a row, whatever the case of parts that are ASCII throughout. The parts of a batch are looked up once for each
+    different one; those not seen lately are encoded together. The cache has two halves of _CACHED / 2 parts: what is found in the older one moves to the newer,
+    and when that is full it becomes the older one, so the cache holds _CACHED parts and those of one batch at most.
     """
 
     def __init__(self, path: str, code: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.code, self.known = Tokenizer.from_file(path), code, {}
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Each text's ids, as the bytes of an array."""
-        if len(self.known) > _CACHED:
-            self.known.clear()
+        self.tokenizer, self.code, self.known, self.older = Tokenizer.from_file(path), code, {}, {}
+
+    @staticmethod
+    def _lowered(data: bytes) -> bytes:
+        # the tokenizer drops case itself; only its special tokens, which hold "<|", are found before.
+        # It composes characters before it drops case, and some compose in lower case only: parts beyond ASCII keep their case, but for
+        # texts below U+0100, in which nothing is composed.
+        if b"<|" in data:
+            return data
+        if data.isascii():
+            return data.lower()
+        try:
+            text = data.decode()
+            text.encode("latin-1")
+            return text.lower().encode()
+        except UnicodeError:
+            return b" ".join([p.lower() if p.isascii() else p for p in data.split()])
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """Each part's ids, as the bytes of an array."""
+        if len(self.known) > _CACHED // 2:
+            self.known, self.older = {}, self.known
         known = self.known
-        # the tokenizer drops case and parts letters from marks itself; only its special tokens, which hold "<|", are found before.
-        # It composes characters before it drops case, and some compose in lower case only: parts beyond ASCII keep their case.
-        texts = [data if b"<|" in data else _LAST_MARK.sub(rb" \1", data.lower() if data.isascii() else data) for data in texts]
-        parted = [data.split() for data in texts]
-        parted = [parts if b"<|" in data or data.isascii() else [p.lower() if p.isascii() else p for p in parts] for data, parts in zip(texts, parted, strict=True)]
-        new = list(set().union(*parted) - known.keys())
+        fresh = self._recalled(parts)
+        # marks at the end of a part are a part of their own
+        cores = [p if b"<|" in p else p.rstrip(_MARKS) for p in fresh]
+        ended = [(c, p[len(c) :]) for c, p in zip(cores, fresh, strict=True) if c and len(c) < len(p) and _WORD_END.search(c)]
+        whole = {c + t for c, t in ended}
+        new = self._recalled({*(p for p in fresh if p not in whole), *(x for pair in ended for x in pair)})
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             known.update((word, array(self.code, e.ids).tobytes()) for word, e in zip(part, found, strict=True))
-        for parts in parted:
-            yield b"".join(map(known.__getitem__, parts))
+        known.update((c + t, known[c] + known[t]) for c, t in ended)
+        return list(map(known.__getitem__, parts))
+
+    def _recalled(self, parts: Iterable[bytes]) -> list[bytes]:
+        """Those of the parts that neither half holds; the older half's move to the newer."""
+        known, older = self.known, self.older
+        missed = [p for p in parts if p not in known]
+        known.update((p, older[p]) for p in missed if p in older)
+        return [p for p in missed if p not in older]
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Each text's ids, as the bytes of an array."""
+        parted = pc.ascii_split_whitespace(pa.array([self._lowered(data) for data in texts], pa.binary()).view(pa.string()))
+        parts = parted.flatten().dictionary_encode()
+        ids = self._ids(parts.dictionary.view(pa.binary()).to_pylist())
+        ends = np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))] // array(self.code).itemsize
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), self.code)))
+        row = lists.take(parts.indices).flatten().to_numpy()
+        places = np.r_[0, np.cumsum(np.diff(ends)[parts.indices.to_numpy()])][parted.offsets.to_numpy()].tolist()
+        for a, b in zip(places[:-1], places[1:], strict=True):
+            yield row[a:b].tobytes()
 
 
 @lru_cache(maxsize=2)
