@@ -124,7 +124,7 @@ def fact_issues(issues: DataFrame, reports: DataFrame, versions: DataFrame) -> D
     """One row per issue with its version and dataset; report and version ids are joined first."""
     owners = reports.select(F.col("id").alias("report_id"), "version_id").join(versions.select(F.col("id").alias("version_id"), "dataset_id"), "version_id")
     severity = F.upper("severity")
-    return issues.join(owners, "report_id").select(
+    return issues.join(owners.hint("shuffle_hash"), "report_id").select(
         F.col("id").alias("issue_id"),
         "report_id",
         "version_id",
