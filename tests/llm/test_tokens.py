@@ -214,3 +214,28 @@ def test_bytes_that_are_no_characters_decode_as_before():
     codec = Codec(PIECES)
     b, (letter,) = codec.vocabulary.bytes, [i for p, (_, i) in codec.vocabulary.pieces.items() if p == "é"]
     assert codec.decode([b[0xE6], b[0xBC], letter, b[0xFF], b[0xE6], b[0xBC], b[0xA2]]) == "\ufffdé\ufffd漢"
+
+
+def test_sums_are_final_as_characters_come():
+    """The automaton needs no view of the characters that follow, and longer pieces win ties as before."""
+    v, search, text = Vocabulary(PIECES), StreamingViterbi(Vocabulary(PIECES)), MARK + "therein▁▁naïvely 漢字🙂x\n\n\n%%%.;Internationalé"
+    for n, c in enumerate(text, 1):
+        search.read(c)
+        assert search.best[n] == full_search(text[:n], v)
+    assert sum_of(search.finish(), v) == full_search(text, v)
+
+
+def test_full_cache_keeps_its_newer_half(monkeypatch):
+    """Words are searched once, a long one once for each text, and a full cache is not emptied."""
+    monkeypatch.setattr("veracol.llm.piece_codec._CACHED", 50)
+    codec, plain, words = Codec(PIECES), Codec(PIECES), [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    for at, word in enumerate(words):
+        assert codec.encode(word) == plain.encode(word)
+        assert all(MARK + w in codec.known for w in words[max(0, at - 20) : at])
+        assert len(codec.known) <= 51
+        plain.forget()
+    asked, search = [], codec.search
+    monkeypatch.setattr(search, "feed", lambda part, feed=search.feed: (asked.append(part), feed(part))[1])
+    long = "abc" * 40
+    codec.encode(f"{long} {long} new, new; new {long}")
+    assert sorted(asked) == sorted([MARK + long, MARK + "new", ",", ";"]) and MARK + long not in codec.known

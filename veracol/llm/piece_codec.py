@@ -1,16 +1,18 @@
 """SentencePiece encoding by a streaming Viterbi search, and decoding.
 
 The search takes the pieces of a model file with their scores and finds the segmentation with the
-greatest sum. It reads characters as a stream and keeps back pointers only from the last commit on: a
-position can still be reached by pieces that start within the longest piece's length, so when the
-paths from all of those positions meet in one boundary, every best path passes through it and the ids
-before it are final.
+greatest sum. It reads characters as a stream through an automaton whose states name the pieces that end
+at a character, the longest first, so a position's best sum is final once its character is read. Back
+pointers are kept only from the last commit on: pieces yet to end can start at the last characters that
+begin some piece, so when the paths from all of those positions meet in one boundary, every best path
+passes through it and the ids before it are final.
 
 A character that no piece covers costs the least score less 10 and becomes byte pieces. As in the file's
 normaliser a blank becomes the piece mark and one is put in front. Texts hold the mark itself rarely; it
 decodes to a blank. Where no piece has a mark after another character, none holds some ASCII
-character together with others, or none holds the two characters on either side next to each other, all paths converge
-by the vocabulary alone; the stretches between such places are looked up once and kept in a bounded cache. Files whose ids were made by merges (as the 32k one) give other ids with the
+character together with others, or none holds the two characters at an edge of a word next to each other, all paths converge
+by the vocabulary alone; the stretches between such places are looked up once and kept in a bounded cache, whose
+older half is dropped when it is full. Files whose ids were made by merges (as the 32k one) give other ids with the
 library's own merge encoder; sums are compared with the library's search over the same pieces in the tests.
 
 Null and empty texts have no pieces. Repeated rows and null ids each give their row.
@@ -21,11 +23,10 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import islice
 from math import inf
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,23 @@ from .shared import text_bytes
 
 MARK = "▁"
 CHECK_EVERY = 32
-_CACHED = 300_000
+_CACHED = 800_000
 _SHORT = 64
+_SHORTCUTS = 500_000
 _ARROW_IDS = 4 << 20
+_EDGES = re.compile(r"(?<=\w)(?=\W)|(?<=\W)(?=\w)")
+
+
+class State:
+    """The longest end of what was read that begins some piece, with all pieces that end there."""
+
+    __slots__ = ("after", "depth", "ends", "shorter")
+
+    def __init__(self, depth: int):
+        self.after: dict[str, State] = {}
+        self.depth = depth
+        self.ends: tuple[tuple[int, float, int], ...] = ()  # (length, score, id), the longest first; id -1: bytes
+        self.shorter: State | None = None  # of the next shorter end
 
 
 class Vocabulary:
@@ -62,18 +77,46 @@ class Vocabulary:
                 self.texts.append(piece)
         self.longest = max(map(len, self.pieces))
         self.unknown = min(score for score, _ in self.pieces.values()) - 10
-        # pieces as a tree of characters: by character (further characters, score, id), id -1 where no piece ends
-        self.tree: dict[str, list] = {}
-        for piece, (score, number) in self.pieces.items():
-            level = self.tree
-            for c in piece[:-1]:
-                level = level.setdefault(c, [{}, 0.0, -1])[0]
-            level.setdefault(piece[-1], [{}, 0.0, -1])[1:] = score, number
+        self.root = self._automaton()
+        self.shortcuts = 0
         self.splits_at_marks = not any(MARK in p.lstrip(MARK) for p in self.pieces)
         used = set("".join(p for p in self.pieces if len(p) > 1))
         self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.lone = [c for c in map(chr, range(128)) if c not in used]  # no piece has them beside another character
 
+    def _automaton(self) -> State:
+        root, states = State(0), []
+        for piece, (score, number) in self.pieces.items():
+            state = root
+            for c in piece:
+                if c not in state.after:
+                    state.after[c] = State(state.depth + 1)
+                    states.append((state.after[c], state, c))
+                state = state.after[c]
+            state.ends = ((len(piece), score, number),)
+        root.ends = ((1, self.unknown, -1),)
+        states.sort(key=lambda found: found[0].depth)
+        for state, before, c in states:
+            shorter = before.shorter
+            while shorter is not None and c not in shorter.after:
+                shorter = shorter.shorter
+            state.shorter = root if shorter is None else shorter.after[c]
+            state.ends += state.shorter.ends if state.depth > 1 or not state.ends else ()
+        return root
+
+    def next(self, state: State, c: str) -> State:
+        """The state after one more character, where no piece goes on with it; kept with the state, up to a number."""
+        found = state.shorter
+        while found is not None and c not in found.after:
+            found = found.shorter
+        if found is None:
+            return self.root
+        found = found.after[c]
+        if self.shortcuts < _SHORTCUTS:
+            self.shortcuts += 1
+            state.after[c] = found
+        return found
+
 
 class StreamingViterbi:
     """Feed characters; ids come out as soon as they are certain."""
@@ -82,83 +125,76 @@ class StreamingViterbi:
         self.vocabulary = vocabulary
         self.text = ""  # characters since the last commit
         self.best: list[float] = [0.0]
-        self.back: list[tuple[int, int]] = [(0, -1)]  # (start, id) of the piece that ends here; -1: bytes
-        self.done = 0  # starts below it have been extended
+        self.back: list[tuple[int, float, int]] = [(0, 0.0, -1)]  # (length, score, id) of the piece that ends here; -1: bytes
+        self.state = vocabulary.root
         self.commits = 0
         self.widest = 0
 
-    def _extend(self, final: bool) -> None:
-        """Extend from every start whose pieces are in view; at the end of the text, from all."""
-        v, text, best, back = self.vocabulary, self.text, self.best, self.back
-        tree, longest, unknown = v.tree, v.longest, v.unknown
-        n = len(text)
-        best += [-inf] * (n + 1 - len(best))
-        back += [(0, -1)] * (n + 1 - len(back))
-        stop = n if final else n - longest + 1
-        for start in range(self.done, stop):
-            base, end = best[start], start + 1
-            step = tree.get(text[start])
-            if step is None or step[2] < 0:  # a character that is no piece by itself
-                if base + unknown > best[end]:
-                    best[end], back[end] = base + unknown, (start, -1)
-                if step is None:
-                    continue
-            elif base + step[1] > best[end]:
-                best[end], back[end] = base + step[1], (start, step[2])
-            level = step[0]
-            for c in text[end : start + longest]:
-                step = level.get(c)
-                if step is None:
-                    break
-                level, score, number = step
-                end += 1
-                if number >= 0 and base + score > best[end]:
-                    best[end], back[end] = base + score, (start, number)
-        self.done = max(self.done, stop)
+    def read(self, text: str) -> None:
+        """Find the best sum and its last piece for the places behind further characters."""
+        best, back, state, skip = self.best, self.back, self.state, self.vocabulary.next
+        for end, c in enumerate(text, len(best)):
+            state = state.after.get(c) or skip(state, c)
+            top = -inf
+            for piece in state.ends:
+                total = best[end - piece[0]] + piece[1]
+                if total > top:
+                    top, last = total, piece
+            best.append(top)
+            back.append(last)
+        self.state = state
+        self.text += text
 
     def _converged(self) -> int:
-        """The last boundary on all surviving paths: those to positions that may yet be extended."""
-        alive = {p for p in range(self.done, min(len(self.best), self.done + self.vocabulary.longest)) if self.best[p] > -inf}
+        """The last boundary on all surviving paths: those to positions at which a piece yet to end can start."""
+        n = len(self.text)
+        alive = set(range(n - self.state.depth, n + 1))
         while len(alive) > 1:
             last = max(alive)
             alive.remove(last)
-            alive.add(self.back[last][0])
-        return alive.pop() if alive else 0
+            alive.add(last - self.back[last][0])
+        return alive.pop()
 
     def _commit(self, boundary: int) -> list[int]:
         ids: list[int] = []
-        at = boundary
+        at, back = boundary, self.back
         while at > 0:
-            start, number = self.back[at]
+            length, _, number = back[at]
             if number >= 0:
                 ids.append(number)
             else:
-                ids += [self.vocabulary.bytes[b] for b in reversed(self.text[start:at].encode("utf-8", "surrogatepass"))]
-            at = start
+                ids += [self.vocabulary.bytes[b] for b in reversed(self.text[at - length : at].encode("utf-8", "surrogatepass"))]
+            at -= length
         self.widest = max(self.widest, len(self.text))
         self.commits += 1
-        if boundary == len(self.text) == self.done:  # nothing is left open
-            self.text, self.best, self.back, self.done = "", [0.0], [(0, -1)], 0
-            return ids[::-1]
         self.text, base = self.text[boundary:], self.best[boundary]
         self.best = [b - base for b in self.best[boundary:]]
-        self.back = [(max(0, s - boundary), i) for s, i in self.back[boundary:]]
-        self.done -= boundary
-        return ids[::-1]
+        self.back = back[boundary:]
+        ids.reverse()
+        return ids
 
     def feed(self, text: str) -> Iterator[int]:
         for at in range(0, len(text), CHECK_EVERY):
-            self.text += text[at : at + CHECK_EVERY]
-            if len(self.text) <= 2 * self.vocabulary.longest:
-                continue
-            self._extend(final=False)
-            boundary = self._converged()
-            if boundary:
+            self.read(text[at : at + CHECK_EVERY])
+            if len(self.text) > 2 * self.vocabulary.longest and (boundary := self._converged()):
                 yield from self._commit(boundary)
 
     def finish(self) -> list[int]:
-        self._extend(final=True)
-        return self._commit(len(self.text))
+        ids = self._commit(len(self.text))
+        self.state = self.vocabulary.root
+        return ids
+
+
+class _Known(dict):
+    """Ids of parts, as bytes; a missing part is looked up."""
+
+    def __init__(self, look_up: Callable[[str], bytes]):
+        super().__init__()
+        self.look_up = look_up
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = found = self.look_up(part)
+        return found
 
 
 class Codec:
@@ -169,18 +205,34 @@ class Codec:
         lone = "".join(map(re.escape, v.lone))
         self.parts = re.compile(rf"[{lone}]+|{MARK}*[^{MARK}{lone}]+|{MARK}+") if v.splits_at_marks and lone else re.compile(r"(?s).+")
         self.raw = [piece if isinstance(piece, bytes) else piece.encode("utf-8", "surrogatepass") for piece in v.texts]
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.search = StreamingViterbi(self.vocabulary)  # empty again after every finish()
+        self.known = _Known(lambda part: self._encode_part(part, self.search))
+        self.long: list[str] = []
+
+    def _pieces(self, part: str) -> list[str]:
+        """The part cut at the edges of its words that no piece crosses."""
+        pairs, out = self.vocabulary.pairs, []
+        if part[1:].isalnum() and part[:2] in pairs:
+            return [part]
+        for stretch in _EDGES.split(part):
+            if out and out[-1][-1] + stretch[0] in pairs:
+                out[-1] += stretch
+            else:
+                out.append(stretch)
+        return out
 
     def _encode_part(self, part: str, search: StreamingViterbi) -> bytes:
-        if len(part) <= _SHORT:
-            joined = list(map(self.vocabulary.pairs.__contains__, map(add, part, part[1:])))
-            if not all(joined):  # no piece crosses those places
-                known, places = self.known, [0, *(at for at, inside in enumerate(joined, 1) if not inside), len(part)]
-                pieces = [part[a:b] for a, b in pairwise(places)]
-                for piece in pieces:
-                    if piece not in known:
-                        known[piece] = self._encode_part(piece, search)
-                return b"".join(map(known.__getitem__, pieces))
+        if len(part) > _SHORT:
+            self.long.append(part)
+        elif len(pieces := self._pieces(part)) > 1:
+            known = self.known
+            for piece in pieces:
+                if piece not in known:
+                    known[piece] = self._encode_part(piece, search)
+            return b"".join(map(known.__getitem__, pieces))
         ids = array("i", search.feed(part))
         ids.extend(search.finish())
         return ids.tobytes()
@@ -188,17 +240,13 @@ class Codec:
     def encode(self, text: str) -> array:
         ids, known = array("i"), self.known
         if text:
-            search = StreamingViterbi(self.vocabulary)  # empty again after every finish()
-            parts = self.parts.findall(MARK + text.replace(" ", MARK))
-            new = set(parts).difference(known)
-            for part in new:
-                known[part] = self._encode_part(part, search)
-            ids.frombytes(b"".join(map(known.__getitem__, parts)))
-            for part in new:
-                if len(part) > _SHORT:
-                    del known[part]
+            ids.frombytes(b"".join(map(known.__getitem__, self.parts.findall(MARK + text.replace(" ", MARK)))))
+            for part in self.long:  # each is kept within its text only
+                known.pop(part, None)
+            self.long.clear()
             if len(known) > _CACHED:
-                known.clear()
+                for part in list(islice(known, len(known) // 2)):
+                    del known[part]
         return ids
 
     def decode(self, ids) -> str:
@@ -251,7 +299,7 @@ def encode_documents(docs: DataFrame, model: str, carried: list[str], text: str
                         yield pa.RecordBatch.from_arrays([*kept, lists, *rest], names=[*names, *_OUT.names])
                         rows, start, size = [], at + 1, 0
         finally:  # reused workers serve other stages next
-            use.known.clear()
+            use.forget()
 
     source = docs.select(*[F.col(f"`{f.name}`").alias(n) for f, n in zip(fields, names, strict=True)], text_bytes(text).alias("data"))
     types = ", ".join(f"{n} {f.dataType.simpleString()}" for f, n in zip(fields, names, strict=True))
