@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
+from veracol.llm import suffix_dedup
 from veracol.llm.suffix_dedup import remove_repeats, repeated_windows, window_runs
 
 
@@ -43,6 +45,39 @@ def test_merged_transforms(shard_bytes, alphabet):
     assert [g.tolist() for g in got] == brute_windows(segments, 20)
 
 
+def test_strings_that_cannot_repeat_enter_no_transform(monkeypatch):
+    rng = random.Random(4)
+    word = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    entered = []
+    real = suffix_dedup.Shard.__init__
+    monkeypatch.setattr(suffix_dedup.Shard, "__init__", lambda self, symbols, *rest: (entered.append(len(symbols)), real(self, symbols, *rest))[1])
+    # names are shared for 100 bytes; only two segments share strings of 400
+    name, passage = word(100), word(450)
+    segments = [word(300) + name + word(300) for _ in range(40)]
+    assert [g.tolist() for g in repeated_windows(segments)] == [[]] * 40 and sum(entered) == 0
+    segments += [word(50) + passage + word(50), word(90) + passage, passage[:399] + word(9)]
+    for shard_bytes in (200, 1 << 18):
+        entered.clear()
+        assert [g.tolist() for g in repeated_windows(segments, shard_bytes=shard_bytes)] == brute_windows(segments, 400)
+        assert 0 < sum(entered) <= 3 * 450
+
+
+@pytest.mark.parametrize("shard_bytes", [60, 1 << 18])
+def test_texts_of_few_blocks(shard_bytes):
+    rng = random.Random(5)
+    blocks = [b"abcd", b"abce", b"aaaa"]
+    # every block is frequent, so all that parts these strings is their order; some are cut off or periodic
+    segments = [b"".join(rng.choice(blocks) for _ in range(rng.randrange(5, 40)))[rng.randrange(4) :] for _ in range(50)] + [b"a" * 20, b"a" * 21, b"abcd" * 30]
+    assert [g.tolist() for g in repeated_windows(segments, 20, 4, shard_bytes)] == brute_windows(segments, 20)
+
+
+def test_stable_order():
+    rng = random.Random(6)
+    for keys in ([], [0], [rng.randrange(5) for _ in range(1000)], [rng.randrange(1 << 62) for _ in range(100)] * 2):
+        keys = np.array(keys, np.int64)
+        assert suffix_dedup.stable_order(keys).tolist() == np.argsort(keys, kind="stable").tolist()
+
+
 def test_equal_windows_have_equal_names():
     rng = random.Random(1)
     shared = bytes(rng.randrange(256) for _ in range(700))
